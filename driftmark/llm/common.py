@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+import os
+import sys
+import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator, Sequence
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +25,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shipped(query: Callable) -> Callable:
+    """The query, with this package sent to the executors first where their path lacks it."""
+
+    @functools.wraps(query)
+    def run(spark: SparkSession, *args: object) -> DataFrame:
+        root = str(Path(__file__).resolve().parents[2])
+        context = spark.sparkContext
+        there = [os.path.realpath(p or ".") for p in os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+        if root not in there and not getattr(context, "_driftmark_sent", False):
+            archive = f"{tempfile.mkdtemp(prefix='driftmark-')}/driftmark.zip"
+            with zipfile.ZipFile(archive, "w") as out:
+                for path in sorted(Path(root, "driftmark").rglob("*.py")):
+                    out.write(path, str(path.relative_to(root)))
+            before = list(sys.path)
+            context.addPyFile(archive)
+            sys.path[:] = before  # the driver has the sources themselves
+            context._driftmark_sent = True
+        return query(spark, *args)
+
+    return run
+
+
 def quoted(name: str) -> F.Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
@@ -29,8 +57,6 @@ def shared_dir(spark: SparkSession) -> str:
         return found
     if (held := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
         return held.get()
-    import tempfile
-
     spark.sparkContext.setCheckpointDir(made := tempfile.mkdtemp(prefix="driftmark-"))
     return made
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftmark.llm import sql
-from driftmark.llm.common import table
+from driftmark.llm.common import shipped, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -44,9 +44,11 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     def joined(spans: str) -> F.Column:
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
-    counts = [F.size(F.filter("base", lambda s, k=kind: s["kind"] == k)).cast("long").alias(f"n_{kind}") for kind in BASE_KINDS]
+    def count(kind: str) -> F.Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
     found = scan_secrets(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+    return found.select("doc_id", *map(count, BASE_KINDS), F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
 
 
 QUERIES: dict[str, Query] = {"op1_chat_format": op1_chat_format, "op2_secret_scan": op2_secret_scan}
@@ -55,7 +57,7 @@ QUERIES: dict[str, Query] = {"op1_chat_format": op1_chat_format, "op2_secret_sca
 def queries() -> dict[str, Query]:
     import corpus_pipeline
 
-    return {**QUERIES, "pipeline": corpus_pipeline.run}
+    return {name: shipped(query) for name, query in {**QUERIES, "pipeline": corpus_pipeline.run}.items()}
 
 
 def oracle_sql() -> dict[str, str]:
