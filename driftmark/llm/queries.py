@@ -51,7 +51,20 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, BASE_KINDS), F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
 
 
-QUERIES: dict[str, Query] = {"op1_chat_format": op1_chat_format, "op2_secret_scan": op2_secret_scan}
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded again: counts and digests of ids and decoded bytes."""
+    import public_tokenizers
+
+    from driftmark.llm.bpe import digest_round_trip
+
+    return digest_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+QUERIES: dict[str, Query] = {
+    "op1_chat_format": op1_chat_format,
+    "op2_secret_scan": op2_secret_scan,
+    "op4_byte_bpe": op4_byte_bpe,
+}
 
 
 def queries() -> dict[str, Query]:
