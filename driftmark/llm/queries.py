@@ -60,10 +60,18 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint against those of its edited text and of the next document."""
+    from driftmark.llm.fracsketch import compare_edits
+
+    return compare_edits(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_chat_format": op1_chat_format,
     "op2_secret_scan": op2_secret_scan,
     "op4_byte_bpe": op4_byte_bpe,
+    "op6_fingerprint": op6_fingerprint,
 }
 
 
