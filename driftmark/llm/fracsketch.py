@@ -6,7 +6,7 @@ threshold, so containment can be estimated between very unequal documents. The s
 a power of two that depends on the text's length only: 1 up to a few dozen shingles, then
 doubling up to MAX_SCALE, so short texts keep all their hashes.
 
-Shingles are SHINGLE consecutive UTF-8 bytes, four to five words of prose; a shorter,
+Shingles are SHINGLE consecutive UTF-8 bytes, about three words of prose; a shorter,
 non-empty text is one shingle. A fingerprint is written ``scale:`` and the base64 of the
 ascending hashes, five bytes each, of which the highest bits tell the threshold.
 
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from driftmark.llm.common import map_text, quoted
 from driftmark.llm.rolling import windows
 
-SHINGLE = 24
+SHINGLE = 16
 MAX_SCALE = 32
 #: Hashes that a sketch has at least, until its scale is MAX_SCALE.
 KEPT_AT_LEAST = 48

@@ -67,11 +67,39 @@ def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_edits(table(spark, sf_dir, "documents"))
 
 
+def _scored(scores: DataFrame, threshold: float) -> DataFrame:
+    from driftmark.llm.labelled import held_out
+
+    return scores.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality score by compression."""
+    from driftmark.llm import compression_classifier as quality
+    from driftmark.llm.labelled import sample
+
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(sample(docs, table(spark, sf_dir, "labels"), "quality", quality.PER_CLASS))
+    return _scored(quality.score_quality(docs, model), 0.3)
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity score by the factorization machine."""
+    from driftmark.llm import factorization
+    from driftmark.llm.labelled import sample
+
+    docs = table(spark, sf_dir, "documents")
+    model = factorization.train(sample(docs, table(spark, sf_dir, "labels"), "toxic", factorization.PER_CLASS))
+    return _scored(factorization.score_toxicity(docs, model), 0.5)
+
+
 QUERIES: dict[str, Query] = {
     "op1_chat_format": op1_chat_format,
     "op2_secret_scan": op2_secret_scan,
     "op4_byte_bpe": op4_byte_bpe,
     "op6_fingerprint": op6_fingerprint,
+    "op7_quality": op7_quality,
+    "op10_toxicity": op10_toxicity,
 }
 
 
