@@ -83,6 +83,21 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(quality.score_quality(docs, model), 0.3)
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's words that occur in windows of benchmark items."""
+    from driftmark.llm.decontaminate import contamination
+
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's toxicity score by the factorization machine."""
     from driftmark.llm import factorization
@@ -99,6 +114,7 @@ QUERIES: dict[str, Query] = {
     "op4_byte_bpe": op4_byte_bpe,
     "op6_fingerprint": op6_fingerprint,
     "op7_quality": op7_quality,
+    "op9_decontaminate": op9_decontaminate,
     "op10_toxicity": op10_toxicity,
 }
 
