@@ -91,6 +91,13 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(quality.score_quality(docs, model), 0.3)
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes of 50-byte strings that also start in a lesser document."""
+    from driftmark.llm.suffix_levels import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's words that occur in windows of benchmark items."""
     from driftmark.llm.decontaminate import contamination
@@ -123,6 +130,7 @@ QUERIES: dict[str, Query] = {
     "op5_simhash": op5_simhash,
     "op6_fingerprint": op6_fingerprint,
     "op7_quality": op7_quality,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_decontaminate": op9_decontaminate,
     "op10_toxicity": op10_toxicity,
 }
