@@ -329,30 +329,40 @@ def portions(ids: np.ndarray, size: int = 1 << 16) -> Iterator[np.ndarray]:
         yield ids[start : start + size]
 
 
-def round_trip(encoder: Encoder, decoder: StreamingDecoder, texts: Iterable[str]) -> dict[str, list]:
+def digests(encoded: Iterable[np.ndarray], decoder: StreamingDecoder) -> dict[str, list]:
     """Counts and digests of ids and of the bytes that the ids decode to."""
     out: dict[str, list] = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
-    for text in texts:
-        packed = encoder.packed(text)
+    for ids in encoded:
         digest = hashlib.sha256()
         decoder.reset()
-        for part in portions(np.frombuffer(packed, "<u4")):
+        for part in portions(ids):
             digest.update(decoder.feed_bytes(part))
         digest.update(decoder.finish_bytes())
-        out["n_tokens"].append(len(packed) // 4)
-        out["ids_sha256"].append(hashlib.sha256(packed).hexdigest())
+        out["n_tokens"].append(len(ids))
+        out["ids_sha256"].append(hashlib.sha256(ids.tobytes()).hexdigest())
         out["decoded_sha256"].append(digest.hexdigest())
     return out
 
 
+def round_trip(encoder: Encoder, decoder: StreamingDecoder, texts: Iterable[str]) -> dict[str, list]:
+    return digests((np.frombuffer(encoder.packed(text), "<u4") for text in texts), decoder)
+
+
 def encode_texts(df: DataFrame, path: str, pattern: str, text: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """The kept columns and ids: array<int>. path is read by every worker: a vocabulary is installed, not data."""
+    """The kept columns, n_tokens, ids: array<int>, ids_sha256, decoded_sha256. path is read by
+    every worker: a vocabulary is installed, not data."""
 
     def make() -> Callable[[list[str]], dict]:
-        encoder = coder(path, pattern)[0]
-        return lambda texts: {"ids": [encoder.encode(x) for x in texts]}
+        encoder, decoder = coder(path, pattern)
+
+        def apply(texts: list[str]) -> dict:
+            ids = [np.frombuffer(encoder.packed(x), "<u4") for x in texts]
+            return {"ids": [x.view(np.int32) for x in ids], **digests(ids, decoder)}
 
-    return map_text(df, text, make, [("ids", T.ArrayType(T.IntegerType()))], keep)
+        return apply
+
+    fields = [("n_tokens", T.LongType()), ("ids", T.ArrayType(T.IntegerType())), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())]
+    return map_text(df, text, make, fields, keep)
 
 
 def digest_round_trip(df: DataFrame, path: str, pattern: str, text: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:

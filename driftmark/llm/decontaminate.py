@@ -53,7 +53,7 @@ class Postings:
     def __init__(self, docs: DataFrame, items: DataFrame, key: str, text: str, item: str, item_text: str, window: int) -> None:
         self.scratch = Scratch(docs.sparkSession)
         self.window = window
-        self.docs = docs.select(quoted(key).alias("key"), quoted(text).alias("text"))
+        self.docs = docs.select(quoted(key).alias("key"), quoted(text).alias("text"), F.struct(*[quoted(c).alias(c) for c in docs.columns]).alias("row"))
         listed = items.select(quoted(item).alias("item"), words(quoted(item_text)).alias("terms")).filter(F.size("terms") > 0).distinct()
         self.items = self.scratch.write(listed.withColumn("line", F.xxhash64("item", "terms")))
         self.places = self.items.select("line", F.size("terms").alias("size"), F.posexplode("terms").alias("at", "term"))
@@ -96,8 +96,8 @@ class Postings:
         return met.filter((F.col("one") < F.col("other")) | F.col("alone").isNotNull()).select("key", "line", "low")
 
     def matches(self, slack: int = 0) -> DataFrame:
-        """Every document row with n_words and found: array of struct<item, start, end> of
-        matching windows. Exact phrases; with slack, windows of which all terms lie within
+        """Every document row (key, and all its columns as row) with n_words and found: array of
+        struct<item, start, end> of matching windows. Exact phrases; with slack, windows of which all terms lie within
         the window's length and slack words to either side."""
         low_terms = self.items.select("line", "item", "terms")
         met = self.scratch.write(self.alignments(slack))
@@ -108,7 +108,7 @@ class Postings:
         joined = told.join(F.broadcast(per_doc) if few else per_doc, F.col("key").eqNullSafe(F.col("met")), "left")
         if not few:
             joined = joined.withColumn("words", words(F.col("text")))
-        return joined.select("key", F.size("words").cast("long").alias("n_words"), F.coalesce(self._compared(slack), F.array().cast(self._found_type())).alias("found"))
+        return joined.select("key", "row", F.size("words").cast("long").alias("n_words"), F.coalesce(self._compared(slack), F.array().cast(self._found_type())).alias("found"))
 
     def _found_type(self) -> T.ArrayType:
         fields = [T.StructField("item", self.items.schema["item"].dataType), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]
@@ -167,6 +167,13 @@ def contamination(
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
+def clean(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
+    """The rows of docs, all columns as they are, that are not contaminated."""
+    found = Postings(docs, items, key, text, item, item_text, window).matches()
+    told = found.withColumn("n_hit", covered(F.col("found")))
+    return told.filter(~((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))).select(*[F.col("row")[c].alias(c) for c in docs.columns])
+
+
 def proximity(docs: DataFrame, items: DataFrame, slack: int, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
     """key and near: distinct items with a window whose terms all lie within slack words of an alignment."""
     found = Postings(docs, items, key, text, item, item_text, window).matches(slack)

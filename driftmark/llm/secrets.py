@@ -203,3 +203,8 @@ def redact(text: str, mark: str = "[secret]") -> str:
         parts += [text[at:start], mark]
         at = end
     return "".join(parts) + text[at:] if parts else text
+
+
+def redact_secrets(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), name: str = "safe_text") -> DataFrame:
+    """The kept columns and the text with every span replaced by a mark."""
+    return map_text(df, text, lambda: lambda texts: {name: [redact(x) for x in texts]}, [(name, T.StringType())], keep)
