@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import functools
+import gc
 import os
 import sys
 import tempfile
+import time
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator, Sequence
@@ -62,10 +64,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Tables written to the shared folder, which cut lineage and survive a lost executor.
-
-    drop() also lets the session forget shuffle files of the plans written so far.
-    """
+    """Tables written to the shared folder, which cut lineage and survive a lost executor."""
 
     def __init__(self, spark: SparkSession) -> None:
         self.spark, self.root = spark, f"{shared_dir(spark).rstrip('/')}/driftmark-{uuid.uuid4().hex}"
@@ -75,11 +74,20 @@ class Scratch:
         self.count += 1
         path = f"{self.root}/{self.count}"
         df.write.option("compression", "zstd").parquet(path)
-        self.spark.sparkContext._jvm.System.gc()
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
 
+    def settle(self) -> None:
+        """Lets Spark delete the shuffle files of plans that are written and no longer held.
+
+        It does so when the driver collects its garbage, which a long job with a small
+        driver may not do before the disks are full.
+        """
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
+
     def drop(self, df: DataFrame) -> None:
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)

@@ -124,6 +124,7 @@ def repeated_spans(repeats: Repeats, scratch: Scratch) -> tuple[DataFrame, DataF
     """Packed spans by home, and the passages: doc, start, end (words), source_doc, source_start, verified."""
     homes = repeats.homes
     made = scratch.write(_pieces(repeats))
+    scratch.settle()
     pieces = made.filter("kind = 0").select("anchor", "piece", "doc", "start", "size", "edges")
     slim = pieces.drop("edges")
     classes = scratch.write(_classes(slim))
@@ -177,6 +178,7 @@ def remove_passages(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     scratch = Scratch(df.sparkSession)
     repeats = Repeats(df.select(quoted(key).alias("key"), quoted(text).alias("text")), word_units, ANCHOR)
     spans = scratch.write(repeated_spans(repeats, scratch)[0])
+    scratch.settle()
 
     def report(doc: int | None, text: bytes, removed: np.ndarray) -> tuple:
         n, kept = kept_words(text, removed)

@@ -171,6 +171,7 @@ def repeated_spans(repeats: Repeats, scratch: Scratch) -> DataFrame:
         return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(columns_, (pa.int32(), *[pa.binary()] * 3), strict=True)], names=["home", "doc", "start", "end"])
 
     made = scratch.write(repeats.candidates(settle, MADE))
+    scratch.settle()
     near = made.filter("kind = 1").select("home", "doc", "start", "end")
     far = made.filter("kind = 0").select("at", "home", "doc", "start", "end", "anchor", "data").groupBy("at").applyInArrow(index, "home int, doc binary, start binary, end binary")
     return near.unionByName(far)
@@ -195,6 +196,7 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     scratch = Scratch(df.sparkSession)
     repeats = Repeats(df.select(quoted(key).alias("key"), quoted(text).alias("text")), byte_units, ANCHOR)
     spans = scratch.write(repeated_spans(repeats, scratch))
+    scratch.settle()
 
     def report(doc: int | None, text: bytes, removed: np.ndarray) -> tuple:
         return doc, len(text), int((removed[:, 1] - removed[:, 0]).sum()), len(removed), hashlib.sha256(cut(text, removed)).hexdigest()
