@@ -27,9 +27,9 @@ from driftmark.llm.rolling import _BASE, mixed, window_minima, windows
 
 WINDOW = 50
 #: Units of one pass of the vectorised functions; below 2**24, the positions of a pass.
-PORTION = 1 << 20
+PORTION = 1 << 18
 #: Anchors that a map task gathers before it sends them.
-GATHERED = 1 << 20
+GATHERED = 1 << 19
 _PLACE = np.uint64((1 << 24) - 1)
 _ORDER = np.uint64(~((1 << 24) - 1) & (1 << 64) - 1)
 
