@@ -121,7 +121,7 @@ def infer_types(found: Prepared) -> Prepared:
             checks += [
                 F.count(f.at).alias(f"{f.at}_n"),
                 F.bool_and(F.lower(word).isin(*TRUE_WORDS, *FALSE_WORDS)).alias(f"{f.at}_b"),
-                F.bool_and(word.rlike(INTEGER) & word.try_cast("bigint").isNotNull()).alias(f"{f.at}_i"),
+                F.bool_and(F.when(word.isNotNull(), word.rlike(INTEGER) & word.try_cast("bigint").isNotNull())).alias(f"{f.at}_i"),
                 F.bool_and(word.rlike(NUMBER)).alias(f"{f.at}_f"),
                 F.bool_and(word.rlike(DATE_LIKE)).alias(f"{f.at}_d"),
                 F.count(F.when(word.rlike(DATE_LIKE), parsed_moment(F.col(f.at)))).alias(f"{f.at}_p"),
