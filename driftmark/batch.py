@@ -6,6 +6,7 @@ import json
 import re
 import subprocess
 import tempfile
+import uuid
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from pathlib import Path
@@ -146,29 +147,53 @@ def dvc_changes(repo: str | Path, old: str, new: str | None) -> list[tuple[str,
 
 
 class GitBlobs:
-    """Files of a revision, written to a scratch folder that lasts as long as this."""
+    """Files of a revision, put where Spark can read them for as long as this lasts.
 
-    def __init__(self, repo: str | Path) -> None:
-        self.repo = repo
-        self.folder = tempfile.TemporaryDirectory(prefix="driftmark-")
+    That is the folder in spark.checkpoint.dir where there is one, which all executors
+    share, and a temporary folder otherwise.
+    """
 
-    def fetch(self, revision: str, path: str) -> Path:
-        target = Path(self.folder.name, re.sub(r"\W", "_", revision), path)
+    def __init__(self, spark: SparkSession, repo: str | Path) -> None:
+        self.spark, self.repo = spark, repo
+        self.local = tempfile.TemporaryDirectory(prefix="driftmark-")
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        self.shared = f"{shared.rstrip('/')}/driftmark-{uuid.uuid4().hex}" if shared else None
+
+    def content(self, revision: str, path: str) -> bytes:
+        return _run(["git", "show", f"{revision}:{path}"], self.repo)
+
+    def _local(self, revision: str, path: str) -> Path:
+        target = Path(self.local.name, re.sub(r"\W", "_", revision), path)
         target.parent.mkdir(parents=True, exist_ok=True)
-        target.write_bytes(_run(["git", "show", f"{revision}:{path}"], self.repo))
         return target
 
+    def fetch(self, revision: str, path: str) -> str:
+        """A path for Spark's readers."""
+        target = self._local(revision, path)
+        target.write_bytes(self.content(revision, path))
+        return self._placed(target)
+
+    def _placed(self, target: Path) -> str:
+        if self.shared is None:
+            return str(target)
+        jvm, context = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc
+        goal = jvm.org.apache.hadoop.fs.Path(f"{self.shared}/{target.relative_to(self.local.name).as_posix()}")
+        goal.getFileSystem(context.hadoopConfiguration()).copyFromLocalFile(jvm.org.apache.hadoop.fs.Path(f"file://{target}"), goal)
+        return goal.toString()
+
     def stored(self, revision: str, path: str) -> Profile | None:
         """The profile that is kept beside a dataset, which saves fetching the dataset."""
         beside = names.profile_path(path).as_posix()
         try:
-            return read_profile(self.fetch(revision, beside))
+            target = self._local(revision, beside)
+            target.write_bytes(GitBlobs.content(self, revision, beside))
+            return read_profile(target)
         except DatasetError:
             return None
 
     def version(self, revision: str, path: str) -> str | None:
         try:
-            return bump(self.fetch(revision, names.version_path(path).as_posix()).read_text(), None)
+            return bump(GitBlobs.content(self, revision, names.version_path(path).as_posix()).decode(), None)
         except ValueError:
             return None
 
@@ -176,13 +201,10 @@ class GitBlobs:
 class DvcBlobs(GitBlobs):
     """Datasets come from DVC's storage, profiles and versions from git."""
 
-    def fetch(self, revision: str, path: str) -> Path:
-        if not is_dataset(path):
-            return super().fetch(revision, path)
-        target = Path(self.folder.name, re.sub(r"\W", "_", revision), path)
-        target.parent.mkdir(parents=True, exist_ok=True)
+    def content(self, revision: str, path: str) -> bytes:
+        target = self._local(revision, path)
         _run(["dvc", "get", ".", path, "--rev", revision, "-o", str(target), "--force"], self.repo)
-        return target
+        return target.read_bytes()
 
 
 def compare_range(
@@ -197,7 +219,7 @@ def compare_range(
     mode: str = EXACT,
 ) -> RangeReport:
     """Reports on all datasets that a revision range modifies or renames; others carry a reason."""
-    blobs = DvcBlobs(repo) if dvc else GitBlobs(repo)
+    blobs = DvcBlobs(spark, repo) if dvc else GitBlobs(spark, repo)
     changes = dvc_changes(repo, old, new) if dvc else git_changes(repo, old, new)
     outcomes = []
     for status, path, previous in changes:
@@ -208,7 +230,7 @@ def compare_range(
             continue
         was = previous or path
         try:
-            sides = [blobs.stored(rev, p) or load_profile(spark, str(blobs.fetch(rev, p)), mode) for rev, p in ((old, was), (new, path))]
+            sides = [blobs.stored(rev, p) or load_profile(spark, blobs.fetch(rev, p), mode) for rev, p in ((old, was), (new, path))]
             outcomes.append(Outcome(path, status, report_on(*sides, rules, blobs.version(old, was) or version), previous=previous))
         except (DatasetError, FileNotFoundError) as error:
             outcomes.append(Outcome(path, status, reason=str(error), previous=previous))
