@@ -1,15 +1,17 @@
 """Byte-level BPE as a lazily determinised finite-state transducer, and streaming decode.
 
 A sequence of tokens is what the merges make of its bytes exactly if each pair of
-neighbours is: merging the two tokens' bytes gives back those two tokens. So the
-encodings of all prefixes of a piece can be followed at once. A state of the transducer
-is the set of live hypotheses, each an encoding of a prefix (only its part that is not
-yet common to all) and a node of the vocabulary trie for the bytes after that prefix.
-Reading a byte steps every trie node; where a node ends a token that may follow the
-hypothesis's last token, the encoding of the longer prefix is known. Tokens on which all
-hypotheses agree are emitted; the rest is the lookahead, bounded by the longest token.
-States and transitions are made when a text first needs them and are kept in a table of
-bounded size that starts afresh when full, which changes no result.
+neighbours is: merging the two tokens' bytes gives back those two tokens. So the encoding
+of every prefix of a piece follows from those of shorter prefixes: of the tokens that end
+with the prefix, exactly one may follow the last token of what stands before it.
+
+Which tokens may end, and which are under way, depends on the bytes alone. The transducer's
+states are the sets of vocabulary trie nodes that the bytes so far may be inside of, found by
+the subset construction when a text first needs them; its output at each byte is the token
+that ends there and fits. Prefixes from which a token is under way are the lookahead, which
+the longest token bounds: tokens that the encodings of all of these share are emitted.
+Transitions and pairs are kept in tables of bounded size that start afresh when full, which
+changes no result.
 
 Decoding feeds token bytes to a UTF-8 state machine that holds an incomplete character
 from one call to the next.
@@ -33,8 +35,11 @@ from pyspark.sql import types as T
 from driftmark.llm.common import map_text
 
 #: Transitions and pieces that a worker keeps.
-MAX_TRANSITIONS = 400_000
-MAX_PIECES = 200_000
+MAX_TRANSITIONS = 300_000
+MAX_PAIRS = 300_000
+MAX_PIECES = 120_000
+#: Bytes of a piece after which tokens that are certain are emitted; twice the longest token at least.
+LOOKAHEAD = 1024
 NO_TOKEN = -1
 
 
@@ -52,7 +57,7 @@ class MergeTable:
         self.tokens = {rank: token for token, rank in ranks.items()}
         self._whole: dict[int, bool] = {}
         self._halves: dict[int, tuple[int, int] | None] = {}
-        self._pairs: dict[int, bool] = {}
+        self.pairs: dict[int, bool] = {}
 
     def merged(self, data: bytes) -> list[int]:
         """The lowest-ranked neighbours merge first, the leftmost of equals."""
@@ -115,10 +120,10 @@ class MergeTable:
     def follows(self, left: int, right: int) -> bool:
         """Whether merging both tokens' bytes gives both tokens."""
         key = left << 32 | right
-        if (known := self._pairs.get(key)) is None:
-            if len(self._pairs) >= MAX_TRANSITIONS:
-                self._pairs.clear()
-            known = self._pairs[key] = self._unmerged(left, right, len(self.tokens) + 1 << 32)
+        if (known := self.pairs.get(key)) is None:
+            if len(self.pairs) >= MAX_PAIRS:
+                self.pairs.clear()
+            known = self.pairs[key] = self._unmerged(left, right, len(self.tokens) + 1 << 32)
         return known
 
 
@@ -130,72 +135,101 @@ class Transducer:
         self.child: dict[int, int] = {}
         self.token_at: list[int] = [NO_TOKEN]
         self.grows: list[bool] = [False]
+        self.depth: list[int] = [0]
+        self.size = [0] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             node = 0
-            for byte in token:
+            for depth, byte in enumerate(token, 1):
                 self.grows[node] = True
                 nxt = self.child.get(node << 8 | byte)
                 if nxt is None:
                     nxt = self.child[node << 8 | byte] = len(self.token_at)
                     self.token_at.append(NO_TOKEN)
                     self.grows.append(False)
+                    self.depth.append(depth)
                 node = nxt
             self.token_at[node] = rank
+            self.size[rank] = len(token)
         self._forget()
 
     def _forget(self) -> None:
-        start = ((NO_TOKEN, (), 0),)
-        self.states: list[tuple] = [start]
-        self.number: dict[tuple, int] = {start: 0}
-        self.steps: list[dict[int, tuple[int, tuple[int, ...]]]] = [{}]
-        self.made = 0
+        #: A state is the set of trie nodes that the bytes so far may be inside of, the root aside.
+        self.states: list[tuple[int, ...]] = [()]
+        self.number: dict[tuple[int, ...], int] = {(): 0}
+        #: state << 8 | byte to the next state and the tokens that may end with this byte.
+        self.steps: dict[int, tuple[int, tuple[tuple[int, int], ...]]] = {}
 
-    def _step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
+    def _step(self, state: int, byte: int) -> tuple[int, tuple[tuple[int, int], ...]]:
         """Determinise one transition."""
-        live, done, child = [], None, self.child.get
-        for last, held, node in self.states[state]:
-            nxt = child(node << 8 | byte)
+        inside, ends = [], []
+        for node in (*self.states[state], 0):
+            nxt = self.child.get(node << 8 | byte)
             if nxt is None:
                 continue
             token = self.token_at[nxt]
-            if token != NO_TOKEN and done is None and self.merges.whole(token) and (last == NO_TOKEN or self.merges.follows(last, token)):
-                done = (token, (*held, token), 0)
+            if token != NO_TOKEN and self.merges.whole(token):
+                ends.append((token, self.size[token]))
             if self.grows[nxt]:
-                live.append((last, held, nxt))
-        if done is None:
-            raise ValueError("the vocabulary has no token for a byte")
-        live.append(done)
-        common = 0
-        shortest = min(len(held) for _, held, _ in live)
-        first = live[0][1]
-        while common < shortest and all(held[common] == first[common] for _, held, _ in live):
-            common += 1
-        out = first[:common]
-        key = tuple((last, held[common:], node) for last, held, node in live)
+                inside.append(nxt)
+        key = tuple(inside)
         number = self.number.get(key)
         if number is None:
             number = self.number[key] = len(self.states)
             self.states.append(key)
-            self.steps.append({})
-        self.steps[state][byte] = (number, out)
-        self.made += 1
-        return number, out
+        made = self.steps[state << 8 | byte] = number, tuple(ends)
+        return made
 
     def encode(self, piece: bytes) -> list[int]:
         if (known := self.merges.ranks.get(piece)) is not None:
             return [known]
-        if self.made >= MAX_TRANSITIONS:
+        if len(self.steps) >= MAX_TRANSITIONS:
             self._forget()
-        state, out, steps = 0, [], self.steps
+        step, pairs, follows = self.steps.get, self.merges.pairs, self.merges.follows
+        out: list[int] = []
+        last = [NO_TOKEN]  # the last token of the encoding of each prefix, from the last emitted token on
+        state = 0
         for byte in piece:
-            got = steps[state].get(byte)
+            got = step(state << 8 | byte)
             if got is None:
                 got = self._step(state, byte)
-            state = got[0]
-            if got[1]:
-                out += got[1]
-        out += self.states[state][-1][1]  # the hypothesis that covers the whole piece comes last
-        return out
+            state, ends = got
+            here = len(last)
+            for token, size in ends:  # of one token only the prefix before it and it are neighbours by merges
+                before = last[here - size]
+                if before < 0:
+                    last.append(token)
+                    break
+                fits = pairs.get(before << 32 | token)
+                if fits is None:
+                    fits = follows(before, token)
+                if fits:
+                    last.append(token)
+                    break
+            else:
+                raise ValueError("the vocabulary has no token for a byte")
+            if here >= LOOKAHEAD:
+                last = self._emitted(state, last, out)
+        return out + self._back(last, len(last) - 1)
+
+    def _back(self, last: list[int], at: int) -> list[int]:
+        """The encoding of the prefix that ends there, from the last emitted token on."""
+        tokens = []
+        while at > 0:
+            tokens.append(last[at])
+            at -= self.size[last[at]]
+        return tokens[::-1]
+
+    def _emitted(self, state: int, last: list[int], out: list[int]) -> list[int]:
+        """Emits the tokens that the encodings of all live prefixes share; what is left of last."""
+        here = len(last) - 1
+        live = {here, *(here - self.depth[node] for node in self.states[state])}
+        while len(live) > 1:  # the latest gives way to the prefix before its last token
+            at = max(live)
+            live.discard(at)
+            live.add(at - self.size[last[at]])
+        (common,) = live
+        out += self._back(last, common)
+        return last[common:]
 
 
 class Encoder:
@@ -210,22 +244,25 @@ class Encoder:
 
     def packed(self, text: str) -> bytes:
         """Token ids as little-endian unsigned 32-bit integers."""
-        parts, kept, encode = [], self.kept, self.transducer.encode
-        join, word = b"".join, self.words.__getitem__
-        if len(kept) > MAX_PIECES:  # what has not been seen since the last turn is forgotten
-            self.older, self.kept = kept, {}
-            kept = self.kept
-        for piece in self.pattern.findall(text):
-            got = kept.get(piece)
-            if got is None:
-                got = self.older.get(piece)
-                if got is None:
-                    got = join(map(word, encode(piece.encode("utf-8", "surrogatepass"))))
-                if len(piece) <= 64:
-                    kept[piece] = got
-            parts.append(got)
+        pieces = self.pattern.findall(text)
+        parts = list(map(self.kept.get, pieces))
+        if None in parts:
+            for i, part in enumerate(parts):
+                if part is None:
+                    parts[i] = self._fresh(pieces[i])
         return b"".join(parts)
 
+    def _fresh(self, piece: str) -> bytes:
+        """A piece that was not seen of late."""
+        got = self.kept.get(piece) or self.older.get(piece)
+        if got is None:
+            got = b"".join(map(self.words.__getitem__, self.transducer.encode(piece.encode("utf-8", "surrogatepass"))))
+        if len(piece) <= 64:
+            if len(self.kept) >= MAX_PIECES:  # what has not been seen since the last turn is forgotten
+                self.older, self.kept = self.kept, {}
+            self.kept[piece] = got
+        return got
+
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.packed(text), "<u4").tolist()
 
