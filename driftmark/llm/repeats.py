@@ -181,13 +181,21 @@ def dealt(where: np.ndarray, *arrays: np.ndarray) -> Iterator[tuple]:
         yield int(where[start]), *[a[start:stop] for a in arrays]
 
 
+def as_table(rows: list[tuple], schema: str) -> pa.Table:
+    """Rows under a schema of int, bigint, string and binary columns."""
+    kinds = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string(), "binary": pa.binary(), "array<bigint>": pa.list_(pa.int64())}
+    fields = [f.split() for f in schema.split(", ")]
+    columns = list(zip(*rows, strict=True)) if rows else [[] for _ in fields]
+    return pa.table({name: pa.array(c, kinds[kind]) for (name, kind), c in zip(fields, columns, strict=True)})
+
+
 class Repeats:
     """Candidates of one collection: documents, and the anchors that they share with others."""
 
     def __init__(self, docs: DataFrame, units: Units, k: int, key: str = "key", text: str = "text") -> None:
         self.units, self.k = units, k
         self.parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-        self.homes = 4 * self.parts
+        self.homes = 2 * self.parts
         kept = docs.select(F.col(key).cast("long").alias("doc"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
         self.without_id = kept.filter(F.col("doc").isNull())
         self.docs = kept.filter(F.col("doc").isNotNull())
@@ -262,10 +270,6 @@ class Repeats:
         start in the portion, start in the document, count, anchor) of all candidate pieces.
         """
         parts, units, k = self.parts, self.units, self.k
-        from pyspark.sql.pandas.types import to_arrow_schema
-        from pyspark.sql.types import StructType
-
-        arrow = to_arrow_schema(StructType.fromDDL(schema))
 
         def look(docs: pa.Table, hits: pa.Table) -> pa.Table:
             ids = docs.column("doc").to_numpy()
@@ -287,25 +291,19 @@ class Repeats:
                             segment, start = segment[hit], start[hit]
                             yield portion, owner[hit], start, start - bounds[segment] + bases[segment], count[hit], anchor[hit]
 
-            columns = list(zip(*make(ids, texts, found), strict=True)) or [[] for _ in arrow]
-            return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+            return as_table(list(make(ids, texts, found)), schema)
+
+        return self.with_texts(self.shared(), look, schema)
 
-        return self.at_home().groupBy("home").cogroup(self.shared().groupBy("home")).applyInArrow(look, schema)
+    def with_texts(self, packed: DataFrame, visit: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+        """Documents (doc, text) and packed rows of each home, seen together."""
+        return self.at_home().groupBy("home").cogroup(packed.groupBy("home")).applyInArrow(visit, schema)
 
     def finished(self, spans: DataFrame, make: Callable[[int | None, bytes, np.ndarray], tuple], schema: str) -> DataFrame:
         """A row for each document: make(id, text, removed spans), spans disjoint and ascending.
 
         spans: (home, doc, start, end) as packed arrays; those of one document may overlap.
         """
-        from pyspark.sql.pandas.types import to_arrow_schema
-        from pyspark.sql.types import StructType
-
-        arrow = to_arrow_schema(StructType.fromDDL(schema))
-
-        def table(rows: list[tuple]) -> pa.Table:
-            columns = list(zip(*rows, strict=True)) if rows else [[] for _ in arrow]
-            return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
-
         def apply(docs: pa.Table, cut: pa.Table) -> pa.Table:
             doc, start, end = (unpack_ids(cut.column(n).to_pylist()) for n in ("doc", "start", "end"))
             order = np.lexsort((start, doc))
@@ -314,15 +312,15 @@ class Repeats:
             for key, text in zip(docs.column("doc").to_pylist(), docs.column("text").cast(pa.binary()), strict=True):
                 lo, hi = np.searchsorted(doc, [key, key + 1])
                 rows.append(make(key, text.as_py(), united(start[lo:hi], end[lo:hi])))
-            return table(rows)
+            return as_table(rows, schema)
 
         def untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             none = np.empty((0, 2), np.int64)
             for batch in batches:
                 texts = batch.column(1).cast(pa.binary())
-                yield from table([make(None, t.as_py(), none) for t in texts]).to_batches()
+                yield from as_table([make(None, t.as_py(), none) for t in texts], schema).to_batches()
 
-        done = self.at_home().groupBy("home").cogroup(spans.groupBy("home")).applyInArrow(apply, schema)
+        done = self.with_texts(spans, apply, schema)
         return done.unionByName(self.without_id.mapInArrow(untouched, schema))
 
 

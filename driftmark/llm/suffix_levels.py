@@ -10,9 +10,10 @@ is merged log n times.
 The family is distributed by content. A window's anchor (see repeats) decides which task
 indexes it, so equal windows always meet, and the task's batches come in ascending
 document order. Pieces of documents whose anchor no other document has are not sent.
-Equal pieces are settled before their windows are: within a home, where most copies are
-dropped before any shuffle, and then for each anchor; only anchors with different pieces
-need their windows indexed. Pieces are compared by content, windows byte by byte.
+Equal pieces are settled before their windows are, by hashes of anchor and content and by
+length: first among the documents of a home, then for each anchor. Only where an anchor has
+different pieces are the texts visited again, and the bytes of each piece's least document
+are sent, indexed by their windows and compared byte by byte.
 
 Defined cases: null text is empty and keeps nothing; texts of fewer than WINDOW bytes
 lose nothing; rows of equal ids are no lesser document to each other, so repeated rows are
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from driftmark.llm.common import Scratch, quoted
-from driftmark.llm.repeats import WINDOW, Repeats, byte_units, dealt, home_of, pack_ids, span_hashes, unpack, unpack_ids
+from driftmark.llm.repeats import WINDOW, Repeats, as_table, byte_units, dealt, home_of, pack_ids, span_hashes, unpack, unpack_ids
 from driftmark.llm.rolling import mixed
 
 ANCHOR = 20
@@ -95,22 +96,29 @@ def _within(sizes: np.ndarray) -> np.ndarray:
     return np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
 
-MADE = "kind int, at int, home int, doc binary, start binary, end binary, anchor binary, data binary"
+FOUND = "kind int, at int, home int, doc binary, start binary, end binary, anchor binary, content binary"
+DECIDED = "kind int, home int, doc binary, start binary, end binary, anchor binary"
+SENT = "at int, doc binary, start binary, end binary, anchor binary, data binary"
+SPANS = "home int, doc binary, start binary, end binary"
 
 
 def repeated_spans(repeats: Repeats, scratch: Scratch) -> DataFrame:
     """(home, doc, start, end), packed: bytes covered by windows that a lesser document holds."""
     parts, homes = repeats.parts, repeats.homes
 
-    def settle(ids: np.ndarray, texts: list[bytes], found: object) -> Iterator[tuple]:
-        """Pieces that a lesser document of this home holds are removed; of the others the first are sent."""
+    def part_of(anchor: np.ndarray) -> np.ndarray:
+        return ((anchor >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+
+    def look(ids: np.ndarray, texts: list[bytes], found: object) -> Iterator[tuple]:
+        """Pieces that a lesser document of this home holds are removed; of the others the names are sent."""
         listed = []
         for portion, owner, start, place, count, anchor in found():
             end = start + count + WINDOW - 1
-            listed.append((ids[owner], owner, place, count, anchor, span_hashes(portion, start, end)))
+            listed.append((ids[owner], place, count, anchor, span_hashes(portion, start, end)))
         if not listed:
             return
-        doc, owner, place, count, anchor, content = (np.concatenate(x) for x in zip(*listed, strict=True))
+        doc, place, count, anchor, content = (np.concatenate(x) for x in zip(*listed, strict=True))
+        end = place + count + WINDOW - 1
         name = mixed(anchor + mixed(content))
         order = np.lexsort((place, doc, name))
         first = np.flatnonzero(np.concatenate([[True], name[order][1:] != name[order][:-1]]))
@@ -119,43 +127,64 @@ def repeated_spans(repeats: Repeats, scratch: Scratch) -> DataFrame:
         home = int(home_of(doc[:1], homes)[0])
         gone, sent = order[late], order[~late]
         if len(gone):
-            yield 1, home, home, pack_ids(doc[gone]), pack_ids(place[gone]), pack_ids(place[gone] + count[gone] + WINDOW - 1), None, None
-        for part, rows in dealt(((anchor[sent] >> np.uint64(32)) % np.uint64(parts)).astype(np.int64), sent):
-            ends = place[rows] + count[rows] + WINDOW - 1
-            data = b"".join([texts[o][a:b] for o, a, b in zip(owner[rows].tolist(), place[rows].tolist(), ends.tolist(), strict=True)])
-            yield 0, part, home, pack_ids(doc[rows]), pack_ids(place[rows]), pack_ids(ends), anchor[rows].tobytes(), data
+            yield 1, home, home, pack_ids(doc[gone]), pack_ids(place[gone]), pack_ids(end[gone]), None, None
+        for part, rows in dealt(part_of(anchor[sent]), sent):
+            yield 0, part, home, pack_ids(doc[rows]), pack_ids(place[rows]), pack_ids(end[rows]), anchor[rows].tobytes(), content[rows].tobytes()
+
+    def decide(group: pa.Table) -> pa.Table:
+        """Later copies of equal pieces are removed (kind 1). Where an anchor has different
+        pieces, those of each piece's least document are asked for (kind 2)."""
+        doc, start, end = (unpack_ids(group.column(n).to_pylist()) for n in ("doc", "start", "end"))
+        anchor, content = (unpack(group.column(n).to_pylist(), np.uint64) for n in ("anchor", "content"))
+        order = np.lexsort((start, doc, end - start, content, anchor))
+        doc, start, end, anchor, content = (x[order] for x in (doc, start, end, anchor, content))
+        new_anchor = np.concatenate([[True], anchor[1:] != anchor[:-1]])
+        new_piece = new_anchor | np.concatenate([[True], (content[1:] != content[:-1]) | (end[1:] - start[1:] != end[:-1] - start[:-1])])
+        first = np.flatnonzero(new_piece)
+        late = doc > doc[first][np.cumsum(new_piece) - 1]
+        number = np.cumsum(new_anchor) - 1
+        asked = (np.bincount(number[first])[number] > 1) & ~late
+        rows = [(1, h, pack_ids(d), pack_ids(s), pack_ids(e), None) for h, d, s, e in dealt(home_of(doc[late], homes), doc[late], start[late], end[late])]
+        rows += [(2, h, pack_ids(d), pack_ids(s), pack_ids(e), a.tobytes()) for h, d, s, e, a in dealt(home_of(doc[asked], homes), doc[asked], start[asked], end[asked], anchor[asked])]
+        return as_table(rows, DECIDED)
+
+    def fetch(docs: pa.Table, asked: pa.Table) -> pa.Table:
+        """The bytes of the pieces that are asked for, sent to their anchor's task."""
+        if not asked.num_rows:
+            return as_table([], SENT)
+        doc, start, end = (unpack_ids(asked.column(n).to_pylist()) for n in ("doc", "start", "end"))
+        anchor = unpack(asked.column("anchor").to_pylist(), np.uint64)
+        ids = docs.column("doc").to_numpy()
+        by_id = np.argsort(ids, kind="stable")
+        texts = docs.column("text").cast(pa.binary()).to_pylist()
+        # of rows that share an id, each may be the one that the piece is from
+        lo, hi = np.searchsorted(ids[by_id], doc, "left"), np.searchsorted(ids[by_id], doc, "right")
+        which = np.repeat(np.arange(len(doc)), hi - lo)
+        row = by_id[np.repeat(lo, hi - lo) + _within(hi - lo)]
+        fits = end[which] <= np.array([len(t) for t in texts])[row]
+        which, row = which[fits], row[fits]
+        rows = []
+        for part, w, r in dealt(part_of(anchor[which]), which, row):
+            data = b"".join([texts[t][a:b] for t, a, b in zip(r.tolist(), start[w].tolist(), end[w].tolist(), strict=True)])
+            rows.append((part, pack_ids(doc[w]), pack_ids(start[w]), pack_ids(end[w]), anchor[w].tobytes(), data))
+        return as_table(rows, SENT)
 
     def index(group: pa.Table) -> pa.Table:
-        columns = {n: group.column(n).to_pylist() for n in ("home", "doc", "start", "end", "anchor", "data")}
-        doc, start, end = (unpack_ids(columns[n]) for n in ("doc", "start", "end"))
-        home = home_of(doc, homes)
-        anchor, data = unpack(columns["anchor"], np.uint64), unpack(columns["data"], np.uint8)
+        """Windows of the pieces of this part's anchors, in batches of ascending documents."""
+        doc, start, end = (unpack_ids(group.column(n).to_pylist()) for n in ("doc", "start", "end"))
+        data = unpack(group.column("data").to_pylist(), np.uint8)
         size = end - start
         head = np.cumsum(size) - size
-        content = span_hashes(data, head, head + size)
-        order = np.lexsort((start, doc, content, anchor))
-        a, c = anchor[order], content[order]
-        new_anchor = np.concatenate([[True], a[1:] != a[:-1]])
-        new_piece = new_anchor | np.concatenate([[True], c[1:] != c[:-1]])
-        piece = np.cumsum(new_piece) - 1
-        first = np.flatnonzero(new_piece)
-        late = doc[order] > doc[order][first][piece]
-        gone = order[late]
-        out = [(doc[gone], start[gone], end[gone])]
-        # anchors with different pieces: the windows of each piece's least document
-        kinds = np.bincount(np.cumsum(new_anchor)[first] - 1)
-        open_ = (kinds[np.cumsum(new_anchor) - 1] > 1) & ~late
-        rows = order[open_]
-        rows = rows[np.argsort(doc[rows], kind="stable")]
+        rows = np.argsort(doc, kind="stable")
         family = SuffixFamily()
-        at = 0
         counts = size[rows] - WINDOW + 1
         ends = np.cumsum(counts)
+        out: list[tuple] = []
+        at = 0
         while at < len(rows):
             stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BATCH, "right")))
             batch, n = rows[at:stop], counts[at:stop]
-            offset = _within(n)
-            repeated = family.add(_suffixes(data, np.repeat(head[batch], n) + offset), np.repeat(doc[batch], n))
+            repeated = family.add(_suffixes(data, np.repeat(head[batch], n) + _within(n)), np.repeat(doc[batch], n))
             # runs of repeated windows, a false one between two pieces
             padded = np.zeros(len(repeated) + len(batch), bool)
             padded[np.arange(len(repeated)) + np.repeat(np.arange(len(batch)), n)] = repeated
@@ -166,14 +195,17 @@ def repeated_spans(repeats: Repeats, scratch: Scratch) -> DataFrame:
             out.append((doc[batch][which], base + lo, base + hi - 1 + WINDOW))
             at = stop
         docs, starts, ends_ = (np.concatenate(x) for x in zip(*out, strict=True))
-        made = [(h, pack_ids(d), pack_ids(s), pack_ids(e)) for h, d, s, e in dealt(home_of(docs, homes), docs, starts, ends_)]
-        columns_ = list(zip(*made, strict=True)) if made else [[], [], [], []]
-        return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(columns_, (pa.int32(), *[pa.binary()] * 3), strict=True)], names=["home", "doc", "start", "end"])
+        return as_table([(h, pack_ids(d), pack_ids(s), pack_ids(e)) for h, d, s, e in dealt(home_of(docs, homes), docs, starts, ends_)], SPANS)
 
-    made = scratch.write(repeats.candidates(settle, MADE))
+    spans = ("home", "doc", "start", "end")
+    found = scratch.write(repeats.candidates(look, FOUND))
+    scratch.settle()
+    decided = scratch.write(found.filter("kind = 0").select("at", "doc", "start", "end", "anchor", "content").groupBy("at").applyInArrow(decide, DECIDED))
+    near = scratch.write(found.filter("kind = 1").select(*spans).unionByName(decided.filter("kind = 1").select(*spans)))
+    scratch.drop(found)
     scratch.settle()
-    near = made.filter("kind = 1").select("home", "doc", "start", "end")
-    far = made.filter("kind = 0").select("at", "home", "doc", "start", "end", "anchor", "data").groupBy("at").applyInArrow(index, "home int, doc binary, start binary, end binary")
+    sent = repeats.with_texts(decided.filter("kind = 2").select(*spans, "anchor"), fetch, SENT)
+    far = scratch.write(sent.groupBy("at").applyInArrow(index, SPANS))
     return near.unionByName(far)
 
 
@@ -195,7 +227,7 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     """key, n_bytes, n_removed, n_spans, kept_sha256; a row for each row."""
     scratch = Scratch(df.sparkSession)
     repeats = Repeats(df.select(quoted(key).alias("key"), quoted(text).alias("text")), byte_units, ANCHOR)
-    spans = scratch.write(repeated_spans(repeats, scratch))
+    spans = repeated_spans(repeats, scratch)
     scratch.settle()
 
     def report(doc: int | None, text: bytes, removed: np.ndarray) -> tuple:
