@@ -149,7 +149,7 @@ def confirmed_spans(text: str, hexes: list[Span]) -> list[Span]:
         if data and (kind := key_kind(data)):
             found.append((m.start(), m.end(), kind))
     for start, end, _ in hexes:
-        if (end - start) % 2 == 0 and end - start >= 80 and (kind := key_kind(bytes.fromhex(text[start:end]))):
+        if (end - start) % 2 == 0 and end - start >= 64 and (kind := key_kind(bytes.fromhex(text[start:end]))):
             found.append((start, end, kind))
     return found
 
