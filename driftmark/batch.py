@@ -7,7 +7,7 @@ import re
 import subprocess
 import tempfile
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 from pathlib import Path
 
@@ -257,3 +257,15 @@ def markdown(found: RangeReport, limit: int = 60_000) -> str:
         lines += ["", "### Skipped", "", *[f"- {_cell(o.path)}: {_cell(o.reason)}" for o in skipped]]
     text = "\n".join(lines) + "\n"
     return text if len(text) <= limit else text[: limit - 20] + "\n\n(truncated)\n"
+
+
+def ci_outputs(found: RangeReport, environment: Mapping[str, str]) -> None:
+    """Results for a CI job: key=value lines and a summary, in the files that the environment names."""
+    if target := environment.get("GITHUB_OUTPUT"):
+        done = [o for o in found.outcomes if o.report]
+        values = {"bump": found.bump.word if found.bump else "none", "compared": len(done), "skipped": len(found.outcomes) - len(done)}
+        with open(target, "a", encoding="utf-8") as out:
+            out.writelines(f"{k}={v}\n" for k, v in values.items())
+    if target := environment.get("GITHUB_STEP_SUMMARY"):
+        with open(target, "a", encoding="utf-8") as out:
+            out.write(markdown(found))

@@ -1,4 +1,4 @@
-"""Command line: diff, profile, range, history and rules.
+"""Command line: diff, profile, range, history, rules and serve.
 
 Exit codes: 0 done, 1 the gate turned the change down, 2 it could not run.
 """
@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import argparse
 import json
+import os
 import sys
 from collections.abc import Sequence
 from pathlib import Path
@@ -21,6 +22,15 @@ from driftmark.sources import load_profile, names
 from driftmark.sources.stored import to_payload, write_profile
 
 MODES = (EXACT, SKETCH, FOOTER)
+MODE_VARIABLE = "DRIFTMARK_MODE"
+
+
+def default_mode() -> str:
+    """The mode that the environment asks for; an argument takes precedence."""
+    mode = os.environ.get(MODE_VARIABLE) or EXACT
+    if mode not in MODES:
+        raise ValueError(f"{MODE_VARIABLE} must be one of {', '.join(MODES)}, got {mode!r}")
+    return mode
 
 
 def parser() -> argparse.ArgumentParser:
@@ -40,24 +50,27 @@ def parser() -> argparse.ArgumentParser:
     diff.add_argument("old")
     diff.add_argument("new")
     diff.add_argument("--key", action="append", default=[], help="column that identifies rows; repeat for a composite key")
-    diff.add_argument("--mode", choices=MODES, default=EXACT)
+    diff.add_argument("--mode", choices=MODES, default=default_mode())
     gate(diff)
     prof = sub.add_parser("profile", help="write the profile of a dataset")
     prof.add_argument("source")
     prof.add_argument("--output", type=Path)
-    prof.add_argument("--mode", choices=MODES, default=EXACT)
+    prof.add_argument("--mode", choices=MODES, default=default_mode())
     over = sub.add_parser("range", help="compare the datasets that a revision range changes")
     over.add_argument("paths", nargs="*")
     over.add_argument("--repo", type=Path, default=Path())
     over.add_argument("--rev", default="HEAD~1")
     over.add_argument("--to", default="HEAD")
     over.add_argument("--dvc", action="store_true")
-    over.add_argument("--mode", choices=MODES, default=EXACT)
+    over.add_argument("--mode", choices=MODES, default=default_mode())
     gate(over)
     past = sub.add_parser("history", help="compare consecutive versions in a directory")
     past.add_argument("directory", type=Path)
     past.add_argument("dataset", nargs="?")
     past.add_argument("--rules", type=Path)
+    web = sub.add_parser("serve", help="answer the same questions over HTTP")
+    web.add_argument("--port", type=int, default=8000)
+    web.add_argument("--datasets", type=Path)
     rules = sub.add_parser("rules", help="show the rules in force")
     rules.add_argument("file", nargs="?", type=Path)
     rules.add_argument("--json", action="store_true")
@@ -101,6 +114,7 @@ def _range(args: argparse.Namespace) -> int:
         args.output.write_text(text, encoding="utf-8")
     else:
         print(text)
+    batch.ci_outputs(found, os.environ)
     if args.write_version and not refused:
         for o in found.outcomes:
             if o.report:
@@ -118,6 +132,15 @@ def _history(args: argparse.Namespace) -> int:
     return 0
 
 
+def _serve(args: argparse.Namespace) -> int:
+    from driftmark.service import Settings, serve
+
+    server = serve(build_session(), args.port, Settings(args.datasets))
+    print(f"listening on http://127.0.0.1:{server.server_port}")
+    server.serve_forever()
+    return 0
+
+
 def _rules(args: argparse.Namespace) -> int:
     listed = RuleSet.load(args.file).described()
     if args.json:
@@ -131,10 +154,10 @@ def _rules(args: argparse.Namespace) -> int:
 
 
 def main(arguments: Sequence[str] | None = None) -> int:
-    args = parser().parse_args(arguments)
-    run = {"diff": _diff, "profile": _profile, "range": _range, "history": _history, "rules": _rules}[args.command]
+    runs = {"diff": _diff, "profile": _profile, "range": _range, "history": _history, "rules": _rules, "serve": _serve}
     try:
-        return run(args)
+        args = parser().parse_args(arguments)
+        return runs[args.command](args)
     except (ValueError, OSError) as error:
         print(f"error: {error}", file=sys.stderr)
         return 2
