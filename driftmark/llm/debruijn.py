@@ -83,9 +83,8 @@ def _open_edges(pieces: DataFrame, classes: DataFrame) -> DataFrame:
     crowded = classes.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("anchor")
     firsts = classes.join(crowded, "anchor").select("anchor", "piece", F.col("source.doc").alias("doc"), F.col("source.start").alias("start"))
     edges = pieces.join(firsts, ["anchor", "piece", "doc", "start"]).select("anchor", "piece", "doc", F.posexplode("edges").alias("offset", "edge"))
-    # a repeated row of the table would give its edges twice
-    least = edges.groupBy("anchor", "edge").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).filter("most > least").select("anchor", "edge", "least")
-    later = edges.join(least, ["anchor", "edge"]).filter(F.col("doc") > F.col("least"))
+    least = F.min("doc").over(Window.partitionBy("anchor", "edge"))
+    later = edges.withColumn("least", least).filter(F.col("doc") > F.col("least"))
     return later.groupBy("anchor", "piece").agg(F.sort_array(F.collect_set("offset")).alias("offsets"))
 
 
@@ -126,9 +125,13 @@ def repeated_spans(repeats: Repeats, scratch: Scratch) -> tuple[DataFrame, DataF
     made = scratch.write(_pieces(repeats))
     scratch.settle()
     pieces = made.filter("kind = 0").select("anchor", "piece", "doc", "start", "size", "edges")
-    slim = pieces.drop("edges")
+    slim = scratch.write(pieces.drop("edges"))
+    near = scratch.write(made.filter("kind = 1").select("home", F.col("docs").alias("doc"), F.col("starts").alias("start"), F.col("ends").alias("end")))
     classes = scratch.write(_classes(slim))
-    offsets = _open_edges(pieces, classes)
+    scratch.settle()
+    offsets = scratch.write(_open_edges(pieces, classes))
+    scratch.drop(made)
+    scratch.settle()
     paths = compacted(slim, classes, scratch)
     told = scratch.write(classes.join(paths, ["anchor", "piece"], "left").join(offsets, ["anchor", "piece"], "left").filter("several OR offsets IS NOT NULL"))
     rows = slim.join(told.drop("size", "several"), ["anchor", "piece"])
@@ -154,8 +157,11 @@ def repeated_spans(repeats: Repeats, scratch: Scratch) -> tuple[DataFrame, DataF
         return pa.Table.from_arrays([pa.array([group.column("home")[0].as_py()], pa.int32()), *[pa.array([c], pa.binary()) for c in columns]], names=["home", "doc", "start", "end"])
 
     packed = spans.select(home_column(F.col("doc"), homes).alias("home"), "doc", "start", "end").groupBy("home").applyInArrow(pack, "home int, doc binary, start binary, end binary")
-    near = made.filter("kind = 1").select("home", F.col("docs").alias("doc"), F.col("starts").alias("start"), F.col("ends").alias("end"))
-    return near.unionByName(packed), passages
+    spans = near.unionByName(scratch.write(packed))
+    for table in (slim, classes, offsets, told):
+        scratch.drop(table)
+    scratch.settle()
+    return spans, passages
 
 
 def kept_words(text: bytes, spans: np.ndarray) -> tuple[int, list[bytes]]:
@@ -177,8 +183,7 @@ def remove_passages(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     """key, n_words, n_removed, kept_sha256; a row for each row."""
     scratch = Scratch(df.sparkSession)
     repeats = Repeats(df.select(quoted(key).alias("key"), quoted(text).alias("text")), word_units, ANCHOR)
-    spans = scratch.write(repeated_spans(repeats, scratch)[0])
-    scratch.settle()
+    spans = repeated_spans(repeats, scratch)[0]
 
     def report(doc: int | None, text: bytes, removed: np.ndarray) -> tuple:
         n, kept = kept_words(text, removed)
