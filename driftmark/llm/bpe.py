@@ -37,7 +37,7 @@ from driftmark.llm.common import map_text
 #: Transitions and pieces that a worker keeps.
 MAX_TRANSITIONS = 300_000
 MAX_PAIRS = 300_000
-MAX_PIECES = 120_000
+MAX_PIECES = 250_000
 #: Bytes of a piece after which tokens that are certain are emitted; twice the longest token at least.
 LOOKAHEAD = 1024
 NO_TOKEN = -1
