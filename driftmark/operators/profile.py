@@ -3,10 +3,11 @@
 Physical plan of an exact profile:
 
 1. one aggregation over the data gives counts, means, deviations and bounds;
-2. distinct counts come from one branch for each column, each of which reads only its own
-   column, aggregates before it shuffles and spills if it must;
-3. quantiles come from the value counts of columns with few distinct values, and for the
-   others from a range-partitioned sort, of which only the ranks asked for are read;
+2. a number or moment column of very many distinct values is dealt out in ranges and sorted
+   there, which gives its distinct count and its quantiles in one shuffle;
+3. of the others, distinct counts come from one branch for each column, each of which reads
+   only its own column, aggregates before it shuffles and spills if it must, and quantiles
+   come from the value counts;
 4. categories come from the value counts as a top-k, so no column's values meet in a task.
 
 A sketched profile replaces 3 by one pass of percentile_approx. Only results of the size
@@ -132,12 +133,17 @@ def exact_quantiles(found: Prepared, cardinality: Mapping[str, int], present: Ma
             out |= {r["at"]: tuple(r["q"]) for r in _union(parts).collect()}
     for f in _numbers(found):
         if present[f.at] and cardinality[f.at] > FEW_VALUES:
-            out[f.at] = sorted_quantiles(found.frame.select(as_double(f).alias("value")).filter("value IS NOT NULL"), present[f.at])
+            out[f.at] = sorted_field(found, f, present[f.at])[0]
     return out
 
 
-def sorted_quantiles(values: DataFrame, n: int, levels: Sequence[float] = LEVELS) -> tuple[float, ...]:
-    """Exact quantiles of a column of any size: sorted ranges, their sizes, then the rows at the ranks asked for."""
+def sorted_summary(values: DataFrame, n: int, levels: Sequence[float] = LEVELS) -> tuple[tuple[float, ...], int]:
+    """Exact quantiles and distinct count of a column of any size, in one shuffle.
+
+    The column, value, is dealt out in ranges, so equal values meet. The sizes of the ranges
+    tell which one holds which rank; each range is sorted where it is, and only its number of
+    distinct values and the values at the ranks asked for leave it.
+    """
     parts = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = values.repartitionByRange(parts, "value").withColumn("part", F.spark_partition_id()).persist()
     try:
@@ -146,33 +152,60 @@ def sorted_quantiles(values: DataFrame, n: int, levels: Sequence[float] = LEVELS
         for part in sorted(sizes):
             before[part] = total
             total += sizes[part]
-        ranks = {rank for level in levels for at in [level * (n - 1)] for rank in (int(at), min(int(at) + 1, n - 1))}
-        wanted = [(p, rank - before[p] + 1, rank) for p in sizes for rank in sorted(ranks) if before[p] <= rank < before[p] + sizes[p]]
-        asked = {p: [local for q, local, _ in wanted if q == p] for p in {p for p, _, _ in wanted}}
+        ranks = sorted({rank for level in levels for at in [level * (n - 1)] for rank in (int(at), min(int(at) + 1, n - 1))})
+        asked = {p: [rank for rank in ranks if before[p] <= rank < before[p] + sizes[p]] for p in sizes}
 
-        def pick(batches):  # noqa: ANN001, ANN202  Arrow batches of one sorted partition
+        def pick(batches):  # noqa: ANN001, ANN202  Arrow batches of one range
+            import numpy as np
             import pyarrow as pa
 
-            at = 0
+            held, part = [], None
             for batch in batches:
-                part = batch.column(1)[0].as_py() if batch.num_rows else None
-                for local in asked.get(part, ()):
-                    if at < local <= at + batch.num_rows:
-                        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([local], pa.int64()), batch.column(0).slice(local - at - 1, 1)], names=["part", "local", "value"])
-                at += batch.num_rows
-
-        rows = ranged.sortWithinPartitions("value").mapInArrow(pick, "part int, local bigint, value double").collect()
-        found = {(r["part"], r["local"]): r["value"] for r in rows}
-        at_rank = {rank: found[p, local] for p, local, rank in wanted}
+                if batch.num_rows:
+                    held.append(batch.column(0).to_numpy(zero_copy_only=False))
+                    part = batch.column(1)[0].as_py()
+            if held:
+                ordered = np.sort(np.concatenate(held))
+                distinct = 1 + int((ordered[1:] != ordered[:-1]).sum())
+                found = [float(ordered[rank - before[part]]) for rank in asked[part]]
+                columns = [pa.array([-1, *asked[part]], pa.int64()), pa.array([distinct, *[0] * len(found)], pa.int64()), pa.array([0.0, *found], pa.float64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["rank", "distinct", "value"])
+
+        rows = ranged.mapInArrow(pick, "rank bigint, distinct bigint, value double").collect()
     finally:
         ranged.unpersist()
+    at_rank = {r["rank"]: r["value"] for r in rows if r["rank"] >= 0}
     out = []
     for level in levels:
         at = level * (n - 1)
-        low = at_rank[int(at)]
-        high = at_rank[min(int(at) + 1, n - 1)]
+        low, high = at_rank[int(at)], at_rank[min(int(at) + 1, n - 1)]
         out.append(low + (high - low) * (at - int(at)))
-    return tuple(out)
+    return tuple(out), sum(r["distinct"] for r in rows)
+
+
+def sorted_quantiles(values: DataFrame, n: int, levels: Sequence[float] = LEVELS) -> tuple[float, ...]:
+    return sorted_summary(values, n, levels)[0]
+
+
+def likely_many(found: Prepared, rows: int) -> set[str]:
+    """Numbers and moments that seem to have more than FEW_VALUES distinct values.
+
+    An estimate, which only chooses between two exact ways.
+    """
+    fields = _numbers(found) if rows > FEW_VALUES else []
+    out: set[str] = set()
+    for batch in _batches(fields):
+        if batch:
+            row = found.frame.agg(*[F.approx_count_distinct(f.at).alias(f.at) for f in batch]).first()
+            out |= {f.at for f in batch if row[f.at] > FEW_VALUES}
+    return out
+
+
+def sorted_field(found: Prepared, f: Field, present: int) -> tuple[tuple[float, ...], int]:
+    """Quantiles and distinct count of one column, sorted in its own type."""
+    value = F.unix_micros(F.col(f.at)) if f.label == MOMENT else F.col(f.at)
+    grid, distinct = sorted_summary(found.frame.select(value.alias("value")).filter("value IS NOT NULL"), present)
+    return (tuple(q / 1e6 for q in grid) if f.label == MOMENT else grid), distinct
 
 
 def sketched_quantiles(found: Prepared, bounds: Mapping[str, dict]) -> dict[str, tuple[float, ...]]:
@@ -211,8 +244,17 @@ def profile_prepared(found: Prepared, source: str, mode: str = EXACT) -> Profile
     rows, basic = moments(found)
     present = {f.at: basic[f.at]["n"] for f in found.fields}
     filled = [f for f in found.fields if present[f.at]]
-    cardinality = {f.at: 0 for f in found.fields} | distinct_counts(found, filled)
-    grids = sketched_quantiles(found, basic) if mode == SKETCH else exact_quantiles(found, cardinality, present)
+    cardinality = {f.at: 0 for f in found.fields}
+    if mode == SKETCH:
+        cardinality |= distinct_counts(found, filled)
+        grids = sketched_quantiles(found, basic)
+    else:
+        many = likely_many(found, rows)
+        sorted_ = {f.at: sorted_field(found, f, present[f.at]) for f in filled if f.at in many}
+        cardinality |= {at: distinct for at, (_, distinct) in sorted_.items()}
+        rest = Prepared(found.frame, tuple(f for f in filled if f.at not in many))
+        cardinality |= distinct_counts(rest, rest.fields)
+        grids = exact_quantiles(rest, cardinality, present) | {at: grid for at, (grid, _) in sorted_.items()}
     named = [f for f in filled if f.label in (TEXT, BOOL)]
     repeats = {f.at: cardinality[f.at] / present[f.at] <= IDENTIFIER_SHARE for f in named}
     tops = top_values(found, {f.at: TRACKED if repeats[f.at] else 1 for f in named})
