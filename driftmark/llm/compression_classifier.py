@@ -1,14 +1,17 @@
 """Quality classifier by compression.
 
 Two zstandard dictionaries are trained, one on good and one on bad labelled texts. A text
-is compressed with each; the normalised difference of the compressed sizes says which
-class it is more like. A logistic calibration, fitted on labelled texts that neither
-dictionary has seen, turns the difference into a probability; it also gets the compressed
-sizes per byte, which place the difference (it means little where a text is nearly all
-repetition), and the length. No label, language, source or id enters a score.
+is compressed with each in blocks of BLOCK_BYTES, every block with the fresh dictionary, so
+that the end of a long text counts as its beginning does; the normalised difference of the
+summed sizes says which class it is more like. A logistic calibration, fitted on labelled
+texts that neither dictionary has seen, turns the difference into a probability; it also
+gets the compressed sizes per byte, which place the difference (it means little where a text
+is nearly all repetition), and the length up to one block, beyond which the rates do not
+depend on it. No label, language, source or id enters a score.
 
 Training uses at most 2 * PER_CLASS documents (see labelled.sample), half of each class
-for the dictionaries and half for the calibration. Scoring reads whole texts.
+for the dictionaries and half for the calibration. The pieces that go into a dictionary are
+spread over the whole of each text. Scoring reads whole texts.
 
 Defined cases: null text is empty and gets a score like any other; without labelled rows
 of both classes every score is 0.5; each row is scored on its own, so ties and repeated
@@ -30,17 +33,29 @@ from driftmark.llm.common import map_text
 
 PER_CLASS = 6000
 DICTIONARY_BYTES = 112_640
-#: Bytes of one text that may go into a dictionary.
+#: Bytes of one text that may go into a dictionary, and of each of its pieces.
 DICTIONARY_PIECE = 4000
+PIECE_BYTES = 500
+#: Bytes that are compressed at a time.
+BLOCK_BYTES = 8192
 LEVEL = 3
 #: Keeps the ratios of very short texts within bounds.
 PAD = 16
 PLAIN = {"write_content_size": False, "write_checksum": False, "write_dict_id": False}
 
 
+def spread(text: bytes) -> list[bytes]:
+    """The text, or of a longer one DICTIONARY_PIECE bytes in pieces at even distances from start to end."""
+    if len(text) <= DICTIONARY_PIECE:
+        return [text] if text else []
+    n = DICTIONARY_PIECE // PIECE_BYTES
+    starts = [i * (len(text) - PIECE_BYTES) // (n - 1) for i in range(n)]
+    return [text[at : at + PIECE_BYTES] for at in starts]
+
+
 def dictionary(texts: Sequence[bytes]) -> bytes:
     """Dictionary content for texts of one kind; of few texts, the texts themselves."""
-    pieces = [t[:DICTIONARY_PIECE] for t in texts if t]
+    pieces = [p for t in texts for p in spread(t)]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, pieces, level=LEVEL).as_bytes()
     except (zstandard.ZstdError, ValueError):
@@ -48,7 +63,7 @@ def dictionary(texts: Sequence[bytes]) -> bytes:
 
 
 class Sizes:
-    """Compressed sizes of a text: with the good, with the bad and without a dictionary."""
+    """Compressed sizes of a text, block by block: with the good, with the bad and without a dictionary."""
 
     def __init__(self, good: bytes, bad: bytes) -> None:
         self.with_good, self.with_bad = (self._compressor(x) for x in (good, bad))
@@ -64,9 +79,10 @@ class Sizes:
 
     def features(self, text: bytes) -> list[float]:
         n = len(text) + PAD
-        good, bad, plain = (len(c.compress(text)) for c in (self.with_good, self.with_bad, self.without))
+        blocks = [text[at : at + BLOCK_BYTES] for at in range(0, len(text), BLOCK_BYTES)] or [b""]
+        good, bad, plain = (sum(len(c.compress(b)) for b in blocks) for c in (self.with_good, self.with_bad, self.without))
         least = min(good, bad)
-        return [(bad - good) / n, (bad - good) / max(good, bad, 1), least / n, plain / n, (plain - least) / n, math.log(n) / 10]
+        return [(bad - good) / n, (bad - good) / max(good, bad, 1), least / n, plain / n, (plain - least) / n, math.log(min(n, BLOCK_BYTES)) / 10]
 
 
 def _expanded(features: np.ndarray, mean: np.ndarray, spread: np.ndarray) -> np.ndarray:

@@ -64,3 +64,32 @@ def test_sample_is_bounded_and_leaves_the_fold_out(spark, per_class):
     assert len(got) == (6 if per_class == 3 else sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(200)))
     assert got == sample(docs.repartition(7), labels.repartition(3), "quality", per_class)
     assert sample(docs, labels.limit(0), "quality", 5) == []
+
+
+def test_compression_judges_a_long_text_by_all_of_it():
+    rng = random.Random(4)
+    words = {v: ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(4, 9))) for _ in range(1500)] for v in (0, 1)}
+
+    def text(v, size):
+        return " ".join(rng.choices(words[v], k=size // 5))[:size]
+
+    model = C.train([(text(v, rng.randint(300, 3000)), v) for v in (0, 1) for _ in range(300)])
+    score = model.scorer()
+    mixed = [text(1, 64 << 10) + " " + text(0, 1 << 20), text(0, 64 << 10) + " " + text(1, 1 << 20)]
+    assert score(mixed)[0] < 0.5 < score(mixed)[1]
+    sizes = C.Sizes(model.good, model.bad)
+    assert all(abs(sizes.features(text(v, 1 << 20).encode())[0]) > 0.5 * abs(sizes.features(text(v, 4096).encode())[0]) for v in (0, 1))
+
+
+def test_dictionaries_take_pieces_from_the_whole_text():
+    long = b"".join(b"%07d " % i for i in range(5000))
+    got = C.spread(long)
+    assert got[0] == long[: len(got[0])] and got[-1] == long[-len(got[-1]) :] and sum(map(len, got)) == C.DICTIONARY_PIECE
+    assert C.spread(b"short") == [b"short"] and C.spread(b"") == []
+
+
+def test_sample_takes_long_texts_from_start_to_end(spark):
+    docs = spark.createDataFrame([(i, "é" * 100 + "m" * 1000 + "z" * 100) for i in range(20)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id bigint, quality int")
+    for text, _ in sample(docs, labels, "quality", 5, longest=160):
+        assert text.startswith("é" * 10) and text.endswith("z" * 10) and "m" * 10 in text and len(text) <= 160 + 15
