@@ -6,7 +6,7 @@ and read again as the next stage's docs. All but the last return the columns of
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftmark.llm import bpe, compression_classifier, decontaminate, labelled, secrets, simhash
@@ -34,19 +34,33 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @shipped
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of near-duplicates the document with the least id.
+    """Keeps of each group of near-duplicates one row: the least by id, nulls last, then by text.
 
-    Rows that share an id are one document, of which the first row by text stays.
+    Groups are of fingerprints, so rows without an id, and unlike rows that share one, are
+    each decided with the rows that they are like.
     """
-    found = Scratch(spark).write(simhash.near_duplicates(docs))
-    ids = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.col("doc_id").eqNullSafe(F.col("component"))).alias("stays"))
-    kept, least = _fresh(docs, "kept"), _fresh(docs, "row")
-    stay = ids.filter("stays").select(F.col("doc_id").alias(kept))
-    out = docs.join(stay, docs["doc_id"].eqNullSafe(stay[kept]), "left_semi")
-    if ids.filter("n > 1").limit(1).count():
-        order = Window.partitionBy("doc_id").orderBy("text", *[quoted(c) for c in docs.columns if c not in ("doc_id", "text")])
-        out = out.withColumn(least, F.row_number().over(order)).filter(F.col(least) == 1).drop(least)
-    return out
+    scratch = Scratch(spark)
+    fp = _fresh(docs, "fp")
+    row = F.struct("text", *[quoted(c) for c in docs.columns if c != "text"])
+    printed = simhash.fingerprints(docs, keep=docs.columns, name=fp)
+    printed = scratch.write(printed.select(F.col("doc_id").alias("key"), F.col(fp).alias("fp"), row.alias("row")))
+    groups = simhash.components(printed.select("key", "fp"), scratch)
+    # rows of a group's least id: more than one where ids are null or repeated
+    counts = printed.groupBy("key", "fp").agg(F.count("*").alias("n")).withColumnRenamed("fp", "kept")
+    least = counts.join(groups, (F.col("kept") == F.col("fp")) & F.col("key").eqNullSafe(F.col("component"))).select("kept", "root", "component", "n")
+    least = scratch.write(least)
+    tied = least.groupBy("root").agg(F.sum("n").alias("n")).filter("n > 1").select("root")
+
+    def held(of: DataFrame) -> DataFrame:
+        return printed.join(of, (F.col("fp") == F.col("kept")) & F.col("key").eqNullSafe(F.col("component"))).select("root", "row")
+
+    if tied.limit(1).count():
+        # the least row combines before the shuffle, so a large group does not meet in one task
+        first = held(least.join(tied, "root", "left_semi")).groupBy("root").agg(F.min("row").alias("row"))
+        out = held(least.join(tied, "root", "left_anti")).unionByName(first)
+    else:
+        out = held(least)
+    return out.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 @shipped

@@ -21,7 +21,7 @@ no rows; other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -203,21 +203,29 @@ def links(classes: DataFrame, scratch: Scratch, partitions: int) -> DataFrame:
     return plain.unionByName(dealt.mapInArrow(crowded, "a bigint, b bigint"))
 
 
-def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, fp (bigint), component (least key of all that are linked); a row for each row."""
-    spark = df.sparkSession
-    scratch = Scratch(spark)
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+def fingerprints(df: DataFrame, text: str = "text", keep: Sequence[str] = ("doc_id",), name: str = "fp") -> DataFrame:
+    """The kept columns and the fingerprint (bigint); one row for each input row, no shuffle."""
 
     def make() -> object:
-        return lambda texts: {"fp": np.array([simhash(x) for x in texts], np.uint64).view(np.int64)}
+        return lambda texts: {name: np.array([simhash(x) for x in texts], np.uint64).view(np.int64)}
+
+    return map_text(df, text, make, [(name, T.LongType())], keep)
+
 
-    hashed = scratch.write(map_text(df, text, make, [("fp", T.LongType())], [key]).withColumnRenamed(key, "key"))
+def components(hashed: DataFrame, scratch: Scratch) -> DataFrame:
+    """fp, root (of all that are linked), component (their least key) for each fp of (key, fp)."""
+    partitions = int(hashed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     classes = scratch.write(hashed.groupBy("fp").agg(F.min("key").alias("first")))
     found = roots(links(classes, scratch, partitions), scratch)
     named = found.join(classes, F.col("node") == F.col("fp")).select("fp", "root", "first")
     whole = named.unionByName(classes.join(found.select(F.col("root").alias("fp")).distinct(), "fp").select("fp", F.col("fp").alias("root"), "first"))
     least = whole.groupBy("root").agg(F.min("first").alias("least"))
-    joined = whole.join(least, "root").select("fp", "least")
-    component = classes.join(joined, "fp", "left").select("fp", F.coalesce("least", "first").alias("component"))
-    return hashed.join(component, "fp").select(F.col("key").alias(key), "fp", "component")
+    joined = whole.join(least, "root").select("fp", "root", "least")
+    return classes.join(joined, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("least", "first").alias("component"))
+
+
+def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, fp (bigint), component (least key of all that are linked); a row for each row."""
+    scratch = Scratch(df.sparkSession)
+    hashed = scratch.write(fingerprints(df, text, [key]).withColumnRenamed(key, "key"))
+    return hashed.join(components(hashed, scratch), "fp").select(F.col("key").alias(key), "fp", "component")

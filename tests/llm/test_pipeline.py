@@ -77,6 +77,17 @@ def test_near_dedup_keeps_one_row_of_each_document(spark, folder):
     assert once == twice and len(once) < len(docs)
 
 
+def test_near_dedup_decides_rows_without_own_id_by_group(spark, folder):
+    path, _, _ = folder
+    rng = random.Random(8)
+    a, b, c, d, e = (prose(rng, 80) for _ in range(5))
+    rows = [(None, a), (None, b), (None, b), (None, c), (1, c), (2, d), (2, e), (3, e), (2, d), (None, a + " "), (None, None), (None, "")]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").withColumns({x: F.lit("x") for x in ("fp", "root", "component", "kept", "n", "a.b", "least")})
+    got = corpus_pipeline.near_dedup(spark, frame.repartition(4), path)
+    assert got.columns == frame.columns
+    assert sorted([r[:2] for r in got.collect()], key=str) == sorted([(None, a), (None, b), (1, c), (2, d), (2, e), (None, None)], key=str)
+
+
 def test_secret_stage_redacts_and_counts(spark, folder):
     path, docs, _ = folder
     out = {r.doc_id: r for r in corpus_pipeline.secret_scan(spark, spark.read.parquet(f"{path}/documents.parquet"), path).collect()}
