@@ -1,14 +1,19 @@
 """Secret scans with structural confirmation.
 
 Three base patterns are found in the whole text, leftmost and non-overlapping for each
-kind. The confirming pass then looks at every long base64, base64url or hex run, decodes
-it and reports a span of its own only if the bytes have the structure of a credential:
+kind. The confirming pass then looks at every long base64, base64url or hex run of either
+case, decodes it and reports a span of its own only if the bytes have the structure of a
+credential:
 
 ``jwt``      three base64url parts; the first decodes to a JSON object that names an ``alg``
 ``der_key``  base64 or hex of a DER SEQUENCE whose nested lengths add up and whose content
              is that of a PKCS#1, PKCS#8 or SEC1 private key
 ``ssh_key``  base64 of the OpenSSH private key container with consistent nested lengths
 
+A key in base64 may be wrapped in lines of any length after a first of 40 characters: its own
+lengths say how many characters belong to it, and that many are taken from the lines, up to a
+line's end or the padding. A full stop after a token is not part of it.
+
 Spans are code point offsets, end exclusive. Defined cases: null or empty text has no
 spans; every row is answered on its own, so ties and repeated rows each give one row;
 an empty table gives no rows; other columns are not read.
@@ -36,9 +41,16 @@ ASSIGN_LENGTH = 12
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 
-TOKEN = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{10,})\.([A-Za-z0-9_-]{4,})\.([A-Za-z0-9_-]*)(?![A-Za-z0-9_.-])")
-#: Base64 in one line, or in lines of equal length as key files wrap it.
-BLOCK = re.compile(r"[A-Za-z0-9+/]{40,}(?:\r?\n[A-Za-z0-9+/]{16,})*={0,2}")
+TOKEN = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{10,})\.([A-Za-z0-9_-]{4,})\.([A-Za-z0-9_-]*)(?!\.?[A-Za-z0-9_-])")
+#: First lines that can begin a key, and the lines after them, in base64 and base64url.
+BLOCKS = {
+    url: (re.compile(rf"(?<![{c}])(?:M[A-P]|b3BlbnNz)[{c}]+"), re.compile(rf"\r?\n([{c}]+)"))
+    for url, c in ((False, "A-Za-z0-9+/"), (True, "A-Za-z0-9_-"))
+}
+LINE = 40
+BROKEN_PAD = re.compile(r"\r?\n=")
+#: Hex that can begin a key, in either case.
+HEX_KEY = re.compile(r"(?<![0-9A-Fa-f])(?:30|6[Ff]70)[0-9A-Fa-f]{60,}")
 SSH_MAGIC = b"openssh-key-v1\x00"
 
 Span = tuple[int, int, str]
@@ -106,10 +118,20 @@ def is_der_key(data: bytes) -> bool:
     return version == 1 and tags[1:2] == [0x04] and 0 < items[1][2] - items[1][1] <= 66  # SEC1
 
 
-def is_ssh_key(data: bytes) -> bool:
-    """The OpenSSH container: cipher, kdf and kdf options, then as many keys as it names."""
+def der_size(data: bytes) -> int | None:
+    """Bytes of the element that the data begin, if it can be a key: a sequence that starts with a version."""
+    if len(data) < 9 or data[0] != 0x30:
+        return None
+    n = data[1] & 0x7F if data[1] & 0x80 else 0
+    if n > 4 or data[1] == 0x80 or data[2 + n : 4 + n] != b"\2\1":
+        return None
+    return 2 + n + (int.from_bytes(data[2 : 2 + n], "big") if n else data[1])
+
+
+def ssh_size(data: bytes) -> int | None:
+    """Bytes of the OpenSSH container that the data begin: cipher, kdf and kdf options, then as many keys as it names."""
     if not data.startswith(SSH_MAGIC):
-        return False
+        return None
     at = len(SSH_MAGIC)
 
     def string() -> bytes | None:
@@ -122,10 +144,14 @@ def is_ssh_key(data: bytes) -> bool:
 
     cipher, kdf, options = string(), string(), string()
     if not cipher or not kdf or options is None or at + 4 > len(data):
-        return False
+        return None
     keys = int.from_bytes(data[at : at + 4], "big")
     at += 4
-    return 1 <= keys <= 16 and all(string() for _ in range(keys)) and bool(string())
+    return at if 1 <= keys <= 16 and all(string() for _ in range(keys)) and string() else None
+
+
+def is_ssh_key(data: bytes) -> bool:
+    return ssh_size(data) is not None
 
 
 def is_token_header(text: str) -> bool:
@@ -143,17 +169,76 @@ def confirmed_spans(text: str, hexes: list[Span]) -> list[Span]:
     """Spans whose decoded bytes have the structure of a credential."""
     found: list[Span] = []
     if "eyJ" in text or "ewog" in text or "eyA" in text:  # base64 of an opening brace
-        found += [(m.start(), m.end(), "jwt") for m in TOKEN.finditer(text) if is_token_header(m[1])]
-    for m in BLOCK.finditer(text):
-        data = decode64(m[0]) or decode64(m[0].splitlines()[0])
-        if data and (kind := key_kind(data)):
-            found.append((m.start(), m.end(), kind))
-    for start, end, _ in hexes:
+        found += tokens(text)
+    found += key_blocks(text)
+    runs = {(start, end) for start, end, _ in hexes} | {m.span() for m in HEX_KEY.finditer(text)}
+    for start, end in sorted(runs):
         if (end - start) % 2 == 0 and end - start >= 64 and (kind := key_kind(bytes.fromhex(text[start:end]))):
             found.append((start, end, kind))
     return found
 
 
+def tokens(text: str) -> Iterator[Span]:
+    at = 0
+    while m := TOKEN.search(text, at):
+        named = is_token_header(m[1])
+        if named:
+            yield m.start(), m.end(), "jwt"
+        at = m.end() if named else m.end(1)  # the next part may be the header
+
+
+def key_blocks(text: str) -> Iterator[Span]:
+    """Keys in base64 or base64url, by their first lines."""
+    for url, (first, after) in BLOCKS.items():
+        if url and "-" not in text and "_" not in text:
+            continue
+        end = 0
+        for m in first.finditer(text):
+            if m.start() < end or len(m[0]) < LINE:
+                continue
+            if (got := key_block(text, m, after, url)) and not (url and decode64(text[m.start() : got[1]])):
+                end = got[1]
+                yield got
+
+
+def key_block(text: str, first: re.Match, after: re.Pattern, url: bool) -> Span | None:
+    """The key that begins with a line: as many characters of it and the lines after it as its lengths name."""
+    size = der_size(decode64(first[0][:16], url) or b"")
+    if size is None and not first[0].startswith("b3"):
+        return None
+    lines, ends, n = [first[0]], [first.end()], len(first[0])
+    need = None if size is None else -(-size * 8 // 6)
+    while (need is None or n < need) and (m := after.match(text, ends[-1])):
+        lines.append(m[1])
+        ends.append(m.end())
+        n += len(m[1])
+    run = "".join(lines)
+    if need is None:
+        data = decode64(run[: len(run) // 4 * 4], url) or b""
+        tail = decode64(run, url) if len(run) % 4 != 1 else None
+        if (size := ssh_size(tail or data)) is None:
+            return None
+        need = -(-size * 8 // 6)
+    elif n != need:
+        return None
+    data = decode64(run[:need], url)
+    if not data or not (kind := key_kind(data)):
+        return None
+    total = 0
+    for line, end in zip(lines, ends, strict=True):
+        total += len(line)
+        if total >= need:
+            break
+    pads = 0  # on the line, or broken off it
+    while pads < 2 and text.startswith("=", end):
+        end, pads = end + 1, pads + 1
+    while pads < -need % 4 and (m := BROKEN_PAD.match(text, end)):
+        end, pads = m.end(), pads + 1
+        if pads < -need % 4 and text.startswith("=", end):
+            end, pads = end + 1, pads + 1
+    return first.start(), end, kind
+
+
 def key_kind(data: bytes) -> str | None:
     return "der_key" if data[:1] == b"\x30" and is_der_key(data) else "ssh_key" if is_ssh_key(data) else None
 

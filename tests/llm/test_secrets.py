@@ -57,6 +57,50 @@ def test_structures_are_confirmed():
     assert "ssh_key" in kinds(f"-----BEGIN-----\n{wrapped}\n-----END-----")
 
 
+def pkcs8(size: int) -> bytes:
+    """A PKCS#8 key with so many bytes inside."""
+    return der(0x30, der(2, b"\0") + der(0x30, der(6, b"\x2a\x86\x48") + der(5, b"")) + der(4, RNG.randbytes(size)))
+
+
+def ssh(size: int) -> bytes:
+    return S.SSH_MAGIC + ssh_string(b"none") * 2 + ssh_string(b"") + (1).to_bytes(4, "big") + ssh_string(RNG.randbytes(51)) + ssh_string(RNG.randbytes(size))
+
+
+def test_wrapped_keys_with_last_lines_of_every_length():
+    for columns in (64, 70, 76, 41):
+        for size in range(100, 100 + columns):
+            for key, kind in ((pkcs8(size), "der_key"), (ssh(size), "ssh_key")):
+                for encode in (base64.b64encode, base64.urlsafe_b64encode):
+                    for newline in ("\n", "\r\n"):
+                        run = encode(key).decode()
+                        wrapped = newline.join(run[i : i + columns] for i in range(0, len(run), columns))
+                        for before, after in (("-----BEGIN KEY-----\n", "\n-----END KEY-----"), ("key ", "\nThen comes another"), ("A" * 44 + "\n", "\nwordsofmorethansixteencharacters\nmore"), ("", "")):
+                            spans = [s for s in S.scan(before + wrapped + after)[1] if s[2] == kind]
+                            assert spans == [(len(before), len(before) + len(wrapped), kind)], (columns, size, kind, encode, after)
+
+
+def test_unpadded_and_one_line_keys_before_words():
+    for size in range(60, 64):
+        for key, kind in ((pkcs8(size), "der_key"), (ssh(size), "ssh_key")):
+            run = base64.b64encode(key).decode().rstrip("=")
+            assert (2, 2 + len(run), kind) in S.scan(f"> {run}\nabcdefghijklmnopqrst")[1]
+
+
+def test_hex_of_either_case():
+    for key in (PKCS1, PKCS8, SEC1):
+        assert "der_key" in kinds(f"key {key.hex().upper()} end") and "der_key" in kinds(key.hex().title())
+        assert kinds(f"key {key.hex()} end").count("der_key") == 1
+
+
+def test_token_before_a_full_stop():
+    header = base64.urlsafe_b64encode(json.dumps({"alg": "HS256"}).encode()).decode().rstrip("=")
+    token = f"{header}.eyJzdWIiOjF9.c2ln"
+    for before, after in (("use ", ". Then"), ("use ", "."), ("", "...\nx"), ("longer-word.", "."), ("", "")):
+        assert (len(before), len(before + token), "jwt") in S.scan(before + token + after)[1]
+    assert kinds(f"{header}.eyJzdWIiOjF9.c2ln.more") == []
+    assert S.redact(f"use {token}. Then") == "use [secret]. Then"
+
+
 def test_broken_structures_are_not():
     for key in (PKCS1[:-1], PKCS1[:1] + b"\x05" + PKCS1[2:], SSH[:60], b"\x30\x80" + bytes(60), RNG.randbytes(90)):
         assert "der_key" not in kinds(base64.b64encode(key).decode()) and "ssh_key" not in kinds(base64.b64encode(key).decode())
