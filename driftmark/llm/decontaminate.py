@@ -77,16 +77,22 @@ class Postings:
         terms = bounded(self.rare.select("term").distinct(), BROADCAST_ROWS)
         return self.docs.select("key", F.posexplode(words(F.col("text"))).alias("position", "term")).join(terms, "term")
 
+    def cell(self, slack: int) -> int:
+        """More than the differences of two terms of a match can lie apart: places in the window and in the words around it."""
+        return 2 * self.window + 2 * slack - 1
+
     def alignments(self, slack: int = 0) -> DataFrame:
         """(key, line, low): document position minus item position, where two rare terms meet.
 
-        With slack, low is the lower bound of a range of 2 * slack + 1 differences.
+        With slack, low is the lower bound of a range of 2 * cell(slack) differences. Two places of
+        one match differ by less than a cell, so they share the range of the lower one's cell.
         """
         placed = self.postings.join(bounded(self.rare, BROADCAST_ROWS), "term")
         low = F.col("position") - F.col("at")
         if slack:
-            cell = F.floor(low / (slack + 1)).cast("int")
-            placed = placed.withColumn("low", F.explode(F.array((cell - 1) * (slack + 1), cell * (slack + 1))))
+            size = self.cell(slack)
+            cell = F.floor(low / size).cast("int")
+            placed = placed.withColumn("low", F.explode(F.array((cell - 1) * size, cell * size)))
         else:
             placed = placed.withColumn("low", low)
         # two different places suffice; their least and greatest tell, and combine before the shuffle
@@ -123,12 +129,18 @@ class Postings:
             def same(start: Column) -> Column:
                 return F.slice("words", start + c["low"] + 1, size) == F.slice(c["terms"], start + 1, size)
 
-            def near(start: Column) -> Column:
-                begin = F.greatest(F.lit(0), start + c["low"] - slack)
-                end = start + c["low"] + size + 2 * slack
+            def within(start: Column, begin: Column, end: Column) -> Column:
+                begin = F.greatest(F.lit(0), begin)
                 around = F.slice("words", begin + 1, F.greatest(F.lit(0), end - begin))
                 return F.size(F.array_except(F.slice(c["terms"], start + 1, size), around)) == 0
 
+            def near(start: Column) -> Column:
+                # every place of the words around the window that the range allows
+                span = size + 2 * slack
+                first, last = start + c["low"] - span, start + c["low"] + 2 * self.cell(slack) + size
+                anywhere = F.exists(F.sequence(first, last), lambda at: within(start, at, at + span))
+                return within(start, first, last + span) & anywhere
+
             starts = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
             return F.transform(
                 F.filter(starts, near if slack else same),
@@ -175,6 +187,6 @@ def clean(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
 
 
 def proximity(docs: DataFrame, items: DataFrame, slack: int, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
-    """key and near: distinct items with a window whose terms all lie within slack words of an alignment."""
+    """key and near: distinct items with a window whose terms all lie within its length and slack words to either side."""
     found = Postings(docs, items, key, text, item, item_text, window).matches(slack)
     return found.select(F.col("key").alias(key), F.array_sort(F.array_distinct(F.col("found.item"))).alias("near"))

@@ -76,6 +76,24 @@ def test_proximity_allows_a_gap(spark):
     assert exact == {1: 0, 2: 0, 3: 13, 4: 0}
 
 
+def test_proximity_by_brute_force_over_shifts(spark):
+    rng = random.Random(6)
+    terms = "alpha beta gamma delta epsilon zeta eta theta".split()
+    docs = []
+    for shift in range(12):
+        for gap in range(0, 10):
+            at = rng.randint(1, 7)
+            docs.append((len(docs), " ".join(["pad"] * shift + terms[:at] + ["gap"] * gap + terms[at:] + ["end"] * (shift % 3))))
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string")
+    items = spark.createDataFrame([(7, " ".join(terms))], "item_id bigint, text string")
+    for slack in (1, 2, 4):
+        got = {r.doc_id: r.near for r in proximity(frame, items, slack=slack, window=6).collect()}
+        for key, text in docs:
+            w, n = text.split(), 6 + 2 * slack
+            found = any(set(terms[s : s + 6]) <= set(w[p : p + n]) for s in range(3) for p in range(len(w)))
+            assert got[key] == ([7] if found else []), (slack, text)
+
+
 def test_clean_keeps_columns(spark):
     docs = spark.createDataFrame([(1, "a b c", 5, None), (2, "q r s", 6, "t")], "doc_id bigint, text string, key int, row string")
     items = spark.createDataFrame([(7, "a b c")], "item_id bigint, text string")
