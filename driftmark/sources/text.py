@@ -71,14 +71,16 @@ def unique_names(names: Sequence[str | None]) -> list[str]:
 
 def read_text(spark: SparkSession, path: str) -> DataFrame:
     """All columns as text; missing values are NULL. Quoted line breaks make a file unsplittable,
-    so they are only read as such where the sample ends inside quotes."""
+    so they are only read as such where some line has an odd number of quotes: the first line of
+    a record that goes on has."""
     lines = first_lines(spark, path)
     if not lines:
         raise UnreadableSource(f"{path} is empty")
     lower = path.lower().removesuffix(".gz")
     delimiter = named_delimiter() or find_delimiter(lines, "\t" if lower.endswith(".tsv") else ",")
     header = unique_names(next(csv.reader([lines[0].lstrip("﻿")], delimiter=delimiter)))
-    multi = any(line.count('"') % 2 for line in lines)
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    multi = spark.read.text(path).filter(quotes % 2 == 1).limit(1).count() > 0
     raw = spark.read.csv(
         path, sep=delimiter, header=True, inferSchema=False, quote='"', escape='"', multiLine=multi, enforceSchema=True,
         schema=", ".join(f"c{i} string" for i in range(len(header))), mode="PERMISSIVE",

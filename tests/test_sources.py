@@ -119,3 +119,12 @@ def test_names():
 @pytest.mark.parametrize("url", ["postgresql://u:pa@ss@h:5/db#t", "mysql://u:pass@[bad/db#t", "mariadb+x://u:pass@h/db#t"])
 def test_passwords_are_not_shown(url):
     assert "pass" not in names.redacted(url).replace("pa@ss", "pass") and "u" in names.redacted(url)
+
+
+def test_quoted_line_break_after_the_sampled_lines(spark, tmp_path):
+    path = tmp_path / "late.csv"
+    path.write_text("a,b\n" + "".join(f"{i},x\n" for i in range(40)) + '40,"one\ntwo, ""three"""\n41,y\n')
+    from driftmark.sources.text import read_text
+
+    rows = [tuple(r) for r in read_text(spark, str(path)).collect()]
+    assert len(rows) == 42 and (rows[40], rows[41]) == (("40", 'one\ntwo, "three"'), ("41", "y"))
