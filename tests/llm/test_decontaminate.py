@@ -52,8 +52,7 @@ def test_by_brute_force(spark):
 
 
 def test_without_broadcasts(spark, monkeypatch):
-    monkeypatch.setattr(D, "BROADCAST_ROWS", 0)
-    monkeypatch.setattr(D, "BROADCAST_ALIGNMENTS", 0)
+    monkeypatch.setattr(D, "BROADCAST_BYTES", -1)
     test_by_brute_force(spark)
 
 
@@ -99,3 +98,31 @@ def test_clean_keeps_columns(spark):
     items = spark.createDataFrame([(7, "a b c")], "item_id bigint, text string")
     got = D.clean(docs, items)
     assert got.columns == docs.columns and [tuple(r) for r in got.collect()] == [(2, "q r s", 6, "t")]
+
+
+def test_clean_lets_no_window_through(spark):
+    """A window in a long text is under a twentieth of its words, and still a benchmark passage."""
+    rng = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(400)]
+    items = [(i, " ".join(rng.choices(vocabulary, k=20))) for i in range(10)]
+    docs = [(i, " ".join(rng.choices(vocabulary, k=rng.choice([5, 60, 900])))) for i in range(40)]
+    for i in range(40, 60):
+        words_ = rng.choice(items)[1].split()
+        at = rng.randrange(8)
+        passage = words_[at : at + (13 if i % 2 else 12)]  # a whole window, or a word less
+        docs.append((i, " ".join(rng.choices(vocabulary, k=500) + passage + rng.choices(vocabulary, k=500))))
+    told = brute(docs, items)
+    hit = {key for key, _, n, _, _ in told if n}
+    assert any(n and not dirty for _, _, n, _, dirty in told) and 8 <= len(hit) <= 12
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
+    got = D.clean(frame, spark.createDataFrame(items, "item_id bigint, text string"))
+    assert {r.doc_id for r in got.collect()} == {i for i, _ in docs} - hit
+
+
+def test_rows_that_share_an_id_and_a_repetitive_text(spark):
+    item = "a b c d e f g h i j k l m n"
+    rows = [(1, item), (1, "clean"), (1, item), (None, item + " x"), (None, None), (2, "a b " * 3000), (3, (item + " ") * 300)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    items = [(7, item), (8, "a b " * 40)]
+    got = sorted(((r.doc_id, r.n_words, r.n_hit, r["items"], r.contaminated) for r in contamination(docs, spark.createDataFrame(items, "item_id bigint, text string")).collect()), key=str)
+    assert got == brute(rows, items)
