@@ -4,23 +4,24 @@ Two zstandard dictionaries are trained, one on good and one on bad labelled text
 is compressed with each in blocks of BLOCK_BYTES, every block with the fresh dictionary, so
 that the end of a long text counts as its beginning does; the normalised difference of the
 summed sizes says which class it is more like. A logistic calibration, fitted on labelled
-texts that neither dictionary has seen, turns the difference into a probability; it also
-gets the compressed sizes per byte, which place the difference (it means little where a text
-is nearly all repetition), and the length up to one block, beyond which the rates do not
-depend on it. No label, language, source or id enters a score.
+texts that neither dictionary has seen, turns the difference into a probability. Beside the
+difference, per byte and per compressed byte, it gets the three compressed sizes per byte,
+which place it: where a text is nearly all repetition both sizes are small, and so is any
+difference. The length is no input. No label, language, source or id enters a score.
 
 Training uses at most 2 * PER_CLASS documents (see labelled.sample), half of each class
-for the dictionaries and half for the calibration. The pieces that go into a dictionary are
-spread over the whole of each text. Scoring reads whole texts.
+for the dictionaries and half for the calibration. A dictionary is a small choice of its
+texts' substrings: each text offers the same share, spread over the whole of it. The
+calibration compresses whole texts, and so does scoring.
 
 Defined cases: null text is empty and gets a score like any other; without labelled rows
 of both classes every score is 0.5; each row is scored on its own, so ties and repeated
-rows score alike; an empty table gives no rows.
+rows score alike; an empty table gives no rows; a column of the table that is named like the
+score is replaced by it unless it is kept, and columns that are not named are not read.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -33,8 +34,9 @@ from driftmark.llm.common import map_text
 
 PER_CLASS = 6000
 DICTIONARY_BYTES = 112_640
-#: Bytes of one text that may go into a dictionary, and of each of its pieces.
-DICTIONARY_PIECE = 4000
+#: Share of each text in what a dictionary is chosen from, so that a long text does not crowd
+#: out the others, and the bytes of each of its pieces.
+TEXT_SHARE = 4000
 PIECE_BYTES = 500
 #: Bytes that are compressed at a time.
 BLOCK_BYTES = 8192
@@ -44,22 +46,22 @@ PAD = 16
 PLAIN = {"write_content_size": False, "write_checksum": False, "write_dict_id": False}
 
 
-def spread(text: bytes) -> list[bytes]:
-    """The text, or of a longer one DICTIONARY_PIECE bytes in pieces at even distances from start to end."""
-    if len(text) <= DICTIONARY_PIECE:
+def pieces(text: bytes) -> list[bytes]:
+    """The text, or of a longer one pieces of together TEXT_SHARE bytes at even distances from start to end."""
+    if len(text) <= TEXT_SHARE:
         return [text] if text else []
-    n = DICTIONARY_PIECE // PIECE_BYTES
+    n = TEXT_SHARE // PIECE_BYTES
     starts = [i * (len(text) - PIECE_BYTES) // (n - 1) for i in range(n)]
     return [text[at : at + PIECE_BYTES] for at in starts]
 
 
 def dictionary(texts: Sequence[bytes]) -> bytes:
-    """Dictionary content for texts of one kind; of few texts, the texts themselves."""
-    pieces = [p for t in texts for p in spread(t)]
+    """Dictionary content for texts of one kind; of too few texts to train on, the texts themselves."""
+    found = [p for t in texts for p in pieces(t)]
     try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, pieces, level=LEVEL).as_bytes()
+        return zstandard.train_dictionary(DICTIONARY_BYTES, found, level=LEVEL).as_bytes()
     except (zstandard.ZstdError, ValueError):
-        return b"".join(pieces)[-DICTIONARY_BYTES:]
+        return b"".join(found)
 
 
 class Sizes:
@@ -82,7 +84,7 @@ class Sizes:
         blocks = [text[at : at + BLOCK_BYTES] for at in range(0, len(text), BLOCK_BYTES)] or [b""]
         good, bad, plain = (sum(len(c.compress(b)) for b in blocks) for c in (self.with_good, self.with_bad, self.without))
         least = min(good, bad)
-        return [(bad - good) / n, (bad - good) / max(good, bad, 1), least / n, plain / n, (plain - least) / n, math.log(min(n, BLOCK_BYTES)) / 10]
+        return [(bad - good) / n, (bad - good) / max(good, bad, 1), least / n, plain / n, (plain - least) / n]
 
 
 def _expanded(features: np.ndarray, mean: np.ndarray, spread: np.ndarray) -> np.ndarray:

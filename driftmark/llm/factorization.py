@@ -5,13 +5,17 @@ longer words. Besides a weight for each term, the machine learns a vector for ea
 the product of two vectors is the weight of both terms together, so an insult next to the
 mention of a group can count for more than the sum of the two, which no additive model
 learns. Training is stochastic gradient descent with per-coordinate rates, on at most
-2 * PER_CLASS labelled documents (see labelled.sample). Terms seen in fewer than MIN_DOCS
-training documents have no weight. No label, language, source or id enters a score.
+2 * PER_CLASS labelled documents (see labelled.sample). Terms have weights that tell
+something in the training documents, alone or in a pair (see telling and interacting), so a
+term that stands in most texts of either class still enters the pairs in which it counts.
+No label, language, source or id enters a score.
 
 Defined cases: null text is empty, and the score of a text without known terms is that of
 the bias; without labelled rows of both classes every score is 0.5; rows are scored one by
-one, so ties and repeated rows score alike; an empty table gives no rows. Whole texts are
-scored: each distinct term counts once, however long the text.
+one, so ties and repeated rows score alike; an empty table gives no rows; a column of the
+table that is named like the score is replaced by it unless it is kept, and columns that are
+not named are not read. Whole texts are scored: each distinct term counts once, however long
+the text.
 """
 
 from __future__ import annotations
@@ -32,10 +36,14 @@ FACTORS = 6
 MIN_DOCS = 5
 MIN_LIFT = 2.0
 MIN_SIGMA = 3.0
-EPOCHS = 8
+#: Pairs are looked for among terms of this share of the training texts, so many terms at a time.
+PAIR_SHARE = 0.01
+PAIR_SIGMA = 6.0
+PAIR_BLOCK = 512
+EPOCHS = 16
 BATCH = 128
 RATE = 0.08
-RIDGE = 2e-5
+RIDGE = 1e-4
 #: Bytes of the beginning of a longer word that count as a term.
 STEM = 5
 
@@ -74,9 +82,12 @@ class Machine:
 
 
 def telling(found: Sequence[np.ndarray], labels: np.ndarray) -> np.ndarray:
-    """Terms of enough training texts whose share differs between the classes: by the factor
-    MIN_LIFT at least, and by MIN_SIGMA standard errors. Others would only add noise, the
-    more the longer a text is."""
+    """Terms that tell something, alone or in a pair; others would only add noise, the more the
+    longer a text is.
+
+    Alone: the term's share differs between the classes by the factor MIN_LIFT at least, and by
+    MIN_SIGMA standard errors. In a pair: see interacting().
+    """
     size = 1 << HASH_BITS
     count = {v: np.bincount(np.concatenate([f for f, y in zip(found, labels, strict=True) if y == v]), minlength=size) for v in (0, 1)}
     total = {v: float((labels == v).sum()) for v in (0, 1)}
@@ -84,7 +95,47 @@ def telling(found: Sequence[np.ndarray], labels: np.ndarray) -> np.ndarray:
     pooled = (count[0] + count[1] + 1) / (total[0] + total[1] + 2)
     error = np.sqrt(pooled * (1 - np.minimum(pooled, 0.999)) * (1 / total[0] + 1 / total[1]))
     lift = np.abs(np.log(share[1] / share[0]))
-    return np.flatnonzero((count[0] + count[1] >= MIN_DOCS) & (lift >= np.log(MIN_LIFT)) & (np.abs(share[1] - share[0]) >= MIN_SIGMA * error))
+    held = count[0] + count[1]
+    alone = np.flatnonzero((held >= MIN_DOCS) & (lift >= np.log(MIN_LIFT)) & (np.abs(share[1] - share[0]) >= MIN_SIGMA * error))
+    often = np.flatnonzero((held >= max(MIN_DOCS, PAIR_SHARE * len(labels))) & (held < len(labels)))
+    return np.union1d(alone, interacting(found, labels, often))
+
+
+def interacting(found: Sequence[np.ndarray], labels: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """Terms of pairs whose effect is not the sum of the two: an insult that only counts beside a
+    group mention, or one of two words but not both, may each tell nothing alone.
+
+    The texts with both, either and neither of two terms give four rates of label 1; the
+    contrast of the rates is zero where effects add up. A pair counts whose contrast exceeds
+    PAIR_SIGMA standard errors and whose four groups have MIN_DOCS texts each.
+    """
+    place = np.full(1 << HASH_BITS, -1, np.int32)
+    place[often] = np.arange(len(often))
+    held = np.zeros((len(found), len(often)), np.float32)
+    for i, f in enumerate(found):
+        at = place[f]
+        held[i, at[at >= 0]] = 1
+    n, positive = float(len(labels)), float(labels.sum())
+    texts, bad = held.sum(0), held[labels == 1].sum(0)
+    bad_rows = held[labels == 1]
+    out = np.zeros(len(often), bool)
+    for start in range(0, len(often), PAIR_BLOCK):
+        block = slice(start, start + PAIR_BLOCK)
+        both, both_bad = held[:, block].T @ held, bad_rows[:, block].T @ bad_rows
+        cells = (  # texts and texts of label 1: both, the first alone, the second alone, neither
+            (both, both_bad),
+            (texts[block, None] - both, bad[block, None] - both_bad),
+            (texts[None] - both, bad[None] - both_bad),
+            (n - texts[block, None] - texts[None] + both, positive - bad[block, None] - bad[None] + both_bad),
+        )
+        contrast, variance, least = 0.0, 0.0, np.inf
+        for (total, hits), sign in zip(cells, (1, -1, -1, 1), strict=True):
+            rate = (hits + 0.5) / (total + 1)
+            contrast, variance, least = contrast + sign * rate, variance + rate * (1 - rate) / (total + 1), np.minimum(least, total)
+        strong = (least >= MIN_DOCS) & (np.abs(contrast) >= PAIR_SIGMA * np.sqrt(variance))
+        out[block] |= strong.any(1)
+        out |= strong.any(0)
+    return often[out]
 
 
 def train(examples: Sequence[tuple[str, int]], seed: int = 7) -> Machine:
@@ -96,6 +147,7 @@ def train(examples: Sequence[tuple[str, int]], seed: int = 7) -> Machine:
     out = Machine(trained=True)
     out.row[active] = np.arange(len(active))
     rows = [r[r >= 0] for r in (out.row[f] for f in found)]
+    weights = np.where(labels == 1, (labels == 0).sum() / labels.sum(), 1.0)  # both classes count alike
     rng = np.random.default_rng(seed)
     n = len(active)
     linear, factors = np.zeros(n), rng.normal(0, 0.01, (n, FACTORS))
@@ -104,20 +156,18 @@ def train(examples: Sequence[tuple[str, int]], seed: int = 7) -> Machine:
     for _ in range(EPOCHS):
         order = rng.permutation(len(rows))
         for start in range(0, len(order), BATCH):
-            picked = [i for i in order[start : start + BATCH] if len(rows[i])]
-            if not picked:
-                continue
+            picked = order[start : start + BATCH]
             sizes = np.array([len(rows[i]) for i in picked])
             flat = np.concatenate([rows[i] for i in picked])
-            heads = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+            text = np.repeat(np.arange(len(picked)), sizes)  # a text without terms trains the bias
             v = factors[flat]
-            total = np.add.reduceat(v, heads, axis=0)
-            margin = bias + np.add.reduceat(linear[flat], heads) + 0.5 * ((total**2).sum(1) - np.add.reduceat((v * v).sum(1), heads))
-            slope = (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - labels[picked]) / len(picked)
+            total = np.stack([np.bincount(text, v[:, f], len(picked)) for f in range(FACTORS)], 1)
+            margin = bias + np.bincount(text, linear[flat], len(picked)) + 0.5 * ((total**2).sum(1) - np.bincount(text, (v * v).sum(1), len(picked)))
+            slope = (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - labels[picked]) * weights[picked] / len(picked)
             each = np.repeat(slope, sizes)
             own, at = np.unique(flat, return_inverse=True)
             step = np.bincount(at, each, len(own)) + RIDGE * linear[own]
-            pull = each[:, None] * (np.repeat(total, sizes, axis=0) - v)
+            pull = each[:, None] * (total[text] - v)
             turn = np.stack([np.bincount(at, pull[:, f], len(own)) for f in range(FACTORS)], 1) + RIDGE * factors[own]
             past_linear[own] += step**2
             past_factors[own] += turn**2

@@ -83,13 +83,71 @@ def test_compression_judges_a_long_text_by_all_of_it():
 
 def test_dictionaries_take_pieces_from_the_whole_text():
     long = b"".join(b"%07d " % i for i in range(5000))
-    got = C.spread(long)
-    assert got[0] == long[: len(got[0])] and got[-1] == long[-len(got[-1]) :] and sum(map(len, got)) == C.DICTIONARY_PIECE
-    assert C.spread(b"short") == [b"short"] and C.spread(b"") == []
+    got = C.pieces(long)
+    assert got[0] == long[: len(got[0])] and got[-1] == long[-len(got[-1]) :] and sum(map(len, got)) == C.TEXT_SHARE
+    assert C.pieces(b"short") == [b"short"] and C.pieces(b"") == []
 
 
-def test_sample_takes_long_texts_from_start_to_end(spark):
-    docs = spark.createDataFrame([(i, "é" * 100 + "m" * 1000 + "z" * 100) for i in range(20)], "doc_id bigint, text string")
+def test_sample_takes_whole_texts_within_its_bytes(spark):
+    docs = spark.createDataFrame([(i, ("é" if i % 2 else "z") * 100 * (1 + i)) for i in range(20)], "doc_id bigint, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id bigint, quality int")
-    for text, _ in sample(docs, labels, "quality", 5, longest=160):
-        assert text.startswith("é" * 10) and text.endswith("z" * 10) and "m" * 10 in text and len(text) <= 160 + 15
+    whole = {t for _, t in docs.collect()}
+    got = sample(docs, labels, "quality", 9, most_bytes=3000)
+    assert got and all(t in whole for t, _ in got)
+    assert all(0 < sum(len(t.encode()) for t, v in got if v == label) <= 3000 for label in (0, 1))
+    assert len(sample(docs, labels, "quality", 9, most_bytes=1 << 20)) > len(got)
+
+
+def _pair_texts(toxic, insult, mention, n=4000, seed=3):
+    rng = random.Random(seed)
+    out = []
+    for _ in range(n):
+        a, b = rng.random() < insult, rng.random() < mention
+        words = [f"w{rng.randrange(300)}" for _ in range(rng.randint(10, 60))] + ["insultt"] * a + ["groupx"] * b
+        rng.shuffle(words)
+        out.append((" ".join(words), int(toxic(a, b))))
+    return out
+
+
+@pytest.mark.parametrize(
+    ("toxic", "insult", "mention"),
+    [(lambda a, b: a != b, 0.5, 0.5), (lambda a, b: a and b, 0.5, 0.85), (lambda a, b: a and b, 0.3, 0.6), (lambda a, b: a and not b, 0.5, 0.8)],
+)
+def test_factorization_learns_pairs_that_single_terms_do_not_tell(toxic, insult, mention):
+    texts = _pair_texts(toxic, insult, mention)
+    model = M.train(texts[:3000])
+    assert sum((model.score(t) >= 0.5) == bool(y) for t, y in texts[3000:]) / 1000 > 0.95
+
+
+def _held_out(name, label):
+    import duckdb
+
+    at = "/root/testdata/sf0.1"
+    rows = duckdb.sql(f"SELECT d.doc_id, d.text, l.{label} FROM '{at}/documents.parquet' d JOIN '{at}/labels.parquet' l USING (doc_id) ORDER BY 1").fetchall()
+    known, unseen = ([r for r in rows if (zlib.crc32(str(r[0]).encode()) % 5 == 0) == fold] for fold in (False, True))
+    return [(t, y) for _, t, y in known], [t for _, t, _ in unseen], [y for _, _, y in unseen]
+
+
+def _ranking(scores, labels):
+    """The share of pairs of a good and a bad row that are ranked right."""
+    good, bad = ([s for s, y in zip(scores, labels, strict=True) if y == v] for v in (1, 0))
+    return sum((g > b) + 0.5 * (g == b) for g in good for b in bad) / (len(good) * len(bad))
+
+
+def test_quality_on_the_held_out_fold():
+    known, texts, labels = _held_out("documents", "quality")
+    model = C.train(known)
+    scores = list(model.scorer()(texts))
+    assert _ranking(scores, labels) > 0.985
+    sizes = C.Sizes(model.good, model.bad)
+    assert _ranking([sizes.features(t.encode())[0] for t in texts], labels) > 0.985  # the difference alone
+    assert sum(s >= 0.3 for s, y in zip(scores, labels, strict=True) if y) / sum(labels) > 0.99
+
+
+def test_toxicity_on_the_held_out_fold():
+    known, texts, labels = _held_out("documents", "toxic")
+    model = M.train(known)
+    scores = [model.score(t) for t in texts]
+    assert _ranking(scores, labels) > 0.985
+    assert sum(s >= 0.5 for s, y in zip(scores, labels, strict=True) if y) / sum(labels) >= 0.9
+    assert sum(s >= 0.5 for s, y in zip(scores, labels, strict=True) if not y) / labels.count(0) < 0.01
