@@ -10,13 +10,15 @@ credential:
              is that of a PKCS#1, PKCS#8 or SEC1 private key
 ``ssh_key``  base64 of the OpenSSH private key container with consistent nested lengths
 
-A key in base64 may be wrapped in lines of any length after a first of 40 characters: its own
-lengths say how many characters belong to it, and that many are taken from the lines, up to a
-line's end or the padding. A full stop after a token is not part of it.
+A key in base64 may be wrapped in lines of any length after a first of LINE characters, with
+real or written line breaks and indents: its own lengths say how many characters belong to it,
+and that many are taken from the lines, up to a line's end or the padding. A full stop after a
+token is not part of it.
 
 Spans are code point offsets, end exclusive. Defined cases: null or empty text has no
-spans; every row is answered on its own, so ties and repeated rows each give one row;
-an empty table gives no rows; other columns are not read.
+spans; a very long text is scanned whole, by patterns that go forward only; every row is
+answered on its own, so ties and repeated rows each give one row; an empty table gives no
+rows; other columns may have any name and are not read.
 """
 
 from __future__ import annotations
@@ -41,14 +43,17 @@ ASSIGN_LENGTH = 12
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 
-TOKEN = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{10,})\.([A-Za-z0-9_-]{4,})\.([A-Za-z0-9_-]*)(?!\.?[A-Za-z0-9_-])")
+#: A token's header begins with a brace or with JSON's white space before it, in base64 e, I, C or D.
+TOKEN = re.compile(r"(?<![A-Za-z0-9_-])([eICD][A-Za-z0-9_-]{9,})\.([A-Za-z0-9_-]{4,})\.([A-Za-z0-9_-]*)(?!\.?[A-Za-z0-9_-])")
+#: A line break, real or written with backslashes, with the next line's indent.
+BREAK = r"(?:\r?\n|(?:\\r)?\\n)[ \t]*"
 #: First lines that can begin a key, and the lines after them, in base64 and base64url.
 BLOCKS = {
-    url: (re.compile(rf"(?<![{c}])(?:M[A-P]|b3BlbnNz)[{c}]+"), re.compile(rf"\r?\n([{c}]+)"))
+    url: (re.compile(rf"(?:(?<![{c}])|(?<=\\n))(?:M[A-P]|b3BlbnNz)[{c}]+"), re.compile(rf"{BREAK}([{c}]+)"))
     for url, c in ((False, "A-Za-z0-9+/"), (True, "A-Za-z0-9_-"))
 }
-LINE = 40
-BROKEN_PAD = re.compile(r"\r?\n=")
+LINE = 16
+BROKEN_PAD = re.compile(rf"{BREAK}=")
 #: Hex that can begin a key, in either case.
 HEX_KEY = re.compile(r"(?<![0-9A-Fa-f])(?:30|6[Ff]70)[0-9A-Fa-f]{60,}")
 SSH_MAGIC = b"openssh-key-v1\x00"
@@ -147,7 +152,8 @@ def ssh_size(data: bytes) -> int | None:
         return None
     keys = int.from_bytes(data[at : at + 4], "big")
     at += 4
-    return at if 1 <= keys <= 16 and all(string() for _ in range(keys)) and string() else None
+    # an empty or missing string ends the walk, so it is no longer than the data
+    return at if keys and all(string() for _ in range(keys)) and string() else None
 
 
 def is_ssh_key(data: bytes) -> bool:
@@ -168,7 +174,7 @@ def is_token_header(text: str) -> bool:
 def confirmed_spans(text: str, hexes: list[Span]) -> list[Span]:
     """Spans whose decoded bytes have the structure of a credential."""
     found: list[Span] = []
-    if "eyJ" in text or "ewog" in text or "eyA" in text:  # base64 of an opening brace
+    if "." in text:
         found += tokens(text)
     found += key_blocks(text)
     runs = {(start, end) for start, end, _ in hexes} | {m.span() for m in HEX_KEY.finditer(text)}
@@ -187,8 +193,9 @@ def tokens(text: str) -> Iterator[Span]:
         at = m.end() if named else m.end(1)  # the next part may be the header
 
 
-def key_blocks(text: str) -> Iterator[Span]:
-    """Keys in base64 or base64url, by their first lines."""
+def key_blocks(text: str) -> set[Span]:
+    """Keys in base64 or base64url, by their first lines; most runs are both."""
+    found: set[Span] = set()
     for url, (first, after) in BLOCKS.items():
         if url and "-" not in text and "_" not in text:
             continue
@@ -196,9 +203,10 @@ def key_blocks(text: str) -> Iterator[Span]:
         for m in first.finditer(text):
             if m.start() < end or len(m[0]) < LINE:
                 continue
-            if (got := key_block(text, m, after, url)) and not (url and decode64(text[m.start() : got[1]])):
+            if got := key_block(text, m, after, url):
                 end = got[1]
-                yield got
+                found.add(got)
+    return found
 
 
 def key_block(text: str, first: re.Match, after: re.Pattern, url: bool) -> Span | None:

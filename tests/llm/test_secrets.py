@@ -79,6 +79,41 @@ def test_wrapped_keys_with_last_lines_of_every_length():
                             assert spans == [(len(before), len(before) + len(wrapped), kind)], (columns, size, kind, encode, after)
 
 
+def test_wrapped_keys_of_every_width():
+    for columns in range(16, 81):
+        for key, kind in ((PKCS1, "der_key"), (pkcs8(100 + columns), "der_key"), (SEC1, "der_key"), (ssh(columns), "ssh_key")):
+            for encode in (base64.b64encode, base64.urlsafe_b64encode):
+                for newline in ("\n", "\r\n", "\\n", "\\r\\n", "\n    ", "\n\t"):
+                    run = encode(key).decode()
+                    wrapped = newline.join(run[i : i + columns] for i in range(0, len(run), columns))
+                    before = f"-----BEGIN KEY-----{newline}"
+                    spans = [s for s in S.scan(f"{before}{wrapped}{newline}-----END KEY-----")[1] if s[2] == kind]
+                    assert spans == [(len(before), len(before) + len(wrapped), kind)], (columns, kind, encode, newline)
+
+
+def test_containers_of_many_keys():
+    for keys in (1, 16, 17, 300):
+        data = S.SSH_MAGIC + ssh_string(b"none") * 2 + ssh_string(b"") + keys.to_bytes(4, "big") + ssh_string(RNG.randbytes(51)) * keys + ssh_string(RNG.randbytes(120))
+        assert "ssh_key" in kinds(base64.b64encode(data).decode())
+        assert "ssh_key" not in kinds(base64.b64encode(data.replace(keys.to_bytes(4, "big") + (51).to_bytes(4, "big"), (keys + 9).to_bytes(4, "big") + (51).to_bytes(4, "big"), 1)).decode())
+
+
+def test_token_headers_of_every_json_form():
+    for before in ("", " ", "\n", "\t", "\r\n", "  \t\n"):
+        for inside in ("", " ", "\n", "\n\t", "\r\n  ", "\t"):
+            for body in ('"alg": "HS256"', '"typ":"JWT","alg":"none"', '"kid" : "é", "alg":"ES512"'):
+                header = base64.urlsafe_b64encode(f"{before}{{{inside}{body}{inside}}}".encode()).decode().rstrip("=")
+                assert kinds(f"use {header}.eyJzdWIiOjF9.c2ln now") == ["jwt"], (before, inside)
+
+
+def test_very_long_texts():
+    rng = random.Random(8)
+    filler = "".join(rng.choice("abc def. eyJ MIIE 30 \n") for _ in range(2_000_000))
+    key = base64.b64encode(PKCS8).decode()
+    text = f"{filler} {key} {filler}"
+    assert (len(filler) + 1, len(filler) + 1 + len(key), "der_key") in S.scan(text)[1]
+
+
 def test_unpadded_and_one_line_keys_before_words():
     for size in range(60, 64):
         for key, kind in ((pkcs8(size), "der_key"), (ssh(size), "ssh_key")):
@@ -118,3 +153,5 @@ def test_scan_of_a_table(spark, documents, corpus):
     assert len(got) == len(corpus)
     assert all([(s.start, s.end, s.kind) for s in got[i].base] == plain(t or "") for i, t in corpus)
     assert S.scan_secrets(rows.limit(0)).count() == 0
+    again = S.scan_secrets(rows.unionByName(rows))
+    assert again.count() == 2 * len(corpus) and again.distinct().count() == S.scan_secrets(rows).distinct().count()
