@@ -1,22 +1,24 @@
 """Document fingerprints: threshold-scaled sketches of shingle hashes.
 
-A sketch holds every distinct shingle hash below 2**64 / scale. Two sketches of one scale
-merge by union, and of different scales after dropping what lies above the lower
-threshold, so containment can be estimated between very unequal documents. The scale is
-a power of two that depends on the text's length only: 1 up to a few dozen shingles, then
-doubling up to MAX_SCALE, so short texts keep all their hashes.
+A sketch holds every distinct shingle hash below 2**64 / scale. The scale is one fixed number,
+SCALE, for all texts, so sketches merge by union and containment can be estimated between
+very unequal documents; sketches of different scales compare after dropping what lies above
+the lower threshold. A text of which no hash is that low keeps its least one, so that short
+texts that differ have different sketches.
 
 Shingles are SHINGLE consecutive UTF-8 bytes, about three words of prose; a shorter,
-non-empty text is one shingle. A fingerprint is written ``scale:`` and the base64 of the
-ascending hashes, five bytes each, of which the highest bits tell the threshold.
+non-empty text is one shingle. Texts are hashed in portions, of which only what is kept is
+held on to. A fingerprint is written ``scale:`` and the base64 of the ascending hashes, five
+bytes each, of which the highest bits tell the threshold.
 
 Likeness is the shared part of the smaller sketch at the common scale: 1 for equal
 fingerprints, 0 if one of two different sketches is empty there.
 
-Defined cases: null text is empty; its fingerprint ``1:`` is like no other but itself; the
-next document is the one that follows by (doc_id, text), nulls first, so ties and repeated
-rows are each a document; the only document follows itself; an empty table gives no rows;
-other columns are not read.
+Defined cases: null text is empty; its fingerprint, without hashes, is like no other but
+itself; a very long text is one of many portions; the next document is the one that follows
+by (doc_id, text), nulls first, so ties and repeated rows are each a document; the only
+document follows itself; an empty table gives no rows; other columns may have any name and
+are not read.
 """
 
 from __future__ import annotations
@@ -35,40 +37,43 @@ from driftmark.llm.common import map_text, quoted
 from driftmark.llm.rolling import windows
 
 SHINGLE = 16
-MAX_SCALE = 32
-#: Hashes that a sketch has at least, until its scale is MAX_SCALE.
-KEPT_AT_LEAST = 48
+#: A sketch keeps the hashes in the lowest one of so many parts of their range.
+SCALE = 8
 #: Bits of a hash that a fingerprint keeps.
 HASH_BITS = 40
+#: Bytes that are hashed at a time.
+PORTION = 1 << 18
 
 
-def scale_of(shingles: int) -> int:
-    scale = 1
-    while scale < MAX_SCALE and shingles // (scale * 2) >= KEPT_AT_LEAST:
-        scale *= 2
-    return scale
-
-
-def sketch(text: str | bytes) -> tuple[int, np.ndarray]:
-    """(scale, ascending distinct HASH_BITS-bit hashes below the threshold)."""
+def sketch(text: str | bytes, scale: int = SCALE) -> tuple[int, np.ndarray]:
+    """(scale, ascending distinct HASH_BITS-bit hashes below the threshold, the least one at any rate)."""
     data = text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text
     if not data:
-        return 1, np.empty(0, np.uint64)
+        return scale, np.empty(0, np.uint64)
     units = np.frombuffer(data, np.uint8)
-    hashes = windows(units, min(SHINGLE, len(units)), seed=len(units) if len(units) < SHINGLE else 0) >> np.uint64(64 - HASH_BITS)
-    scale = scale_of(len(hashes))
-    kept = hashes[hashes < np.uint64((1 << HASH_BITS) // scale)] if scale > 1 else hashes
-    return scale, np.unique(kept)
+    size = min(SHINGLE, len(units))
+    kept = np.empty(0, np.uint64)
+    for start in range(0, len(units) - size + 1, PORTION):
+        part = units[start : start + PORTION + size - 1]
+        hashes = windows(part, size, seed=len(units) if len(units) < SHINGLE else 0) >> np.uint64(64 - HASH_BITS)
+        kept = np.concatenate([kept, lowest(hashes, scale)])
+    return scale, lowest(np.unique(kept), scale)
+
+
+def lowest(hashes: np.ndarray, scale: int) -> np.ndarray:
+    """Those below the threshold; if there are none, the least."""
+    kept = hashes[hashes < np.uint64((1 << HASH_BITS) // scale)]
+    return kept if len(kept) or not len(hashes) else hashes.min(keepdims=True)
 
 
 def at_scale(one: tuple[int, np.ndarray], scale: int) -> np.ndarray:
-    return one[1][: np.searchsorted(one[1], np.uint64((1 << HASH_BITS) // scale))] if scale > one[0] else one[1]
+    return lowest(one[1], scale) if scale > one[0] else one[1]
 
 
 def merged(one: tuple[int, np.ndarray], other: tuple[int, np.ndarray]) -> tuple[int, np.ndarray]:
     """The sketch of both texts' shingles together."""
     scale = max(one[0], other[0])
-    return scale, np.union1d(at_scale(one, scale), at_scale(other, scale))
+    return scale, lowest(np.union1d(at_scale(one, scale), at_scale(other, scale)), scale)
 
 
 def containment(one: tuple[int, np.ndarray], other: tuple[int, np.ndarray]) -> float:
@@ -199,4 +204,4 @@ def compare_edits(df: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
 def union(sketches: list[tuple[int, np.ndarray]]) -> tuple[int, np.ndarray]:
     """The sketch of a collection, from those of its parts."""
-    return reduce(merged, sketches, (1, np.empty(0, np.uint64)))
+    return reduce(merged, sketches, (min((scale for scale, _ in sketches), default=SCALE), np.empty(0, np.uint64)))
