@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import functools
-import gc
 import os
 import sys
 import tempfile
-import time
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator, Sequence
@@ -54,44 +54,68 @@ def quoted(name: str) -> F.Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; set for this session only where none is named."""
+    """The folder that all executors share, which spark.checkpoint.dir names.
+
+    Only a local master, whose executors are the driver, may do without: then a temporary
+    folder is set for this session.
+    """
     if found := spark.conf.get("spark.checkpoint.dir", None):
         return found
-    if (held := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
+    context = spark.sparkContext
+    if (held := context._jsc.sc().getCheckpointDir()).isDefined():
         return held.get()
-    spark.sparkContext.setCheckpointDir(made := tempfile.mkdtemp(prefix="driftmark-"))
+    if not context.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    context.setCheckpointDir(made := tempfile.mkdtemp(prefix="driftmark-"))
     return made
 
 
+#: Removes the shuffle files of a query that has ended; what it wrote stays.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_held: dict[str, SparkSession] = {}
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def release() -> None:
+    """Deletes all scratch tables of this driver; results must have been read or written by then.
+    Called when the driver's Python ends, and of use to sessions that go on for long."""
+    for path, spark in list(_held.items()):
+        with contextlib.suppress(Exception):  # the session may be gone with its files
+            _delete(spark, path)
+        _held.pop(path, None)
+
+
+atexit.register(release)
+
+
 class Scratch:
     """Tables written to the shared folder, which cut lineage and survive a lost executor."""
 
     def __init__(self, spark: SparkSession) -> None:
         self.spark, self.root = spark, f"{shared_dir(spark).rstrip('/')}/driftmark-{uuid.uuid4().hex}"
         self.count = 0
+        _held[self.root] = spark
 
     def write(self, df: DataFrame) -> DataFrame:
         self.count += 1
         path = f"{self.root}/{self.count}"
-        df.write.option("compression", "zstd").parquet(path)
+        before = self.spark.conf.get(CLEANUP, "false")
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set(CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
 
-    def settle(self) -> None:
-        """Lets Spark delete the shuffle files of plans that are written and no longer held.
-
-        It does so when the driver collects its garbage, which a long job with a small
-        driver may not do before the disks are full.
-        """
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
-
     def drop(self, df: DataFrame) -> None:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(self.spark, df._scratch_path)
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -38,8 +38,9 @@ def roots(links: DataFrame, scratch: Scratch, a: str = "a", b: str = "b", most:
 
     Alternating large-star and small-star steps: each replaces links by links to lesser
     neighbours until only stars are left. A node's least neighbour is found by a partial
-    aggregation and joined back, so no task gathers the neighbours of a hub. Each round is
-    written to the shared folder; rounds grow with the logarithm of the nodes.
+    aggregation and joined back: the hub's links, rows of two numbers, stream through the join,
+    which adaptive execution splits where they are many, and are nowhere gathered. Each round
+    is written to the shared folder; rounds grow with the logarithm of the nodes.
     """
 
     def starred(edges: DataFrame) -> DataFrame:

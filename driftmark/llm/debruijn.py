@@ -123,15 +123,12 @@ def repeated_spans(repeats: Repeats, scratch: Scratch) -> tuple[DataFrame, DataF
     """Packed spans by home, and the passages: doc, start, end (words), source_doc, source_start, verified."""
     homes = repeats.homes
     made = scratch.write(_pieces(repeats))
-    scratch.settle()
     pieces = made.filter("kind = 0").select("anchor", "piece", "doc", "start", "size", "edges")
     slim = scratch.write(pieces.drop("edges"))
     near = scratch.write(made.filter("kind = 1").select("home", F.col("docs").alias("doc"), F.col("starts").alias("start"), F.col("ends").alias("end")))
     classes = scratch.write(_classes(slim))
-    scratch.settle()
     offsets = scratch.write(_open_edges(pieces, classes))
     scratch.drop(made)
-    scratch.settle()
     paths = compacted(slim, classes, scratch)
     told = scratch.write(classes.join(paths, ["anchor", "piece"], "left").join(offsets, ["anchor", "piece"], "left").filter("several OR offsets IS NOT NULL"))
     rows = slim.join(told.drop("size", "several"), ["anchor", "piece"])
@@ -160,7 +157,6 @@ def repeated_spans(repeats: Repeats, scratch: Scratch) -> tuple[DataFrame, DataF
     spans = near.unionByName(scratch.write(packed))
     for table in (slim, classes, offsets, told):
         scratch.drop(table)
-    scratch.settle()
     return spans, passages
 
 

@@ -10,13 +10,16 @@ and only there are they compared.
 
 Equal fingerprints are one class, which alone is replicated. Each task reduces the links
 that it finds to a forest, so a dense group gives a link for each member and not for each
-pair; an anchor with more than HOT entries is dealt out in slices of its homes, each with
-all the entries, to as many tasks. Components come from star steps in Spark.
+pair. The number of parts that anchors are dealt to follows the number of classes. An anchor
+with more than HOT entries is written once, in slices, and Spark joins each slice of homes
+with each slice of entries, every pair of slices a row that any task may compare. Components
+come from star steps in Spark; rows get theirs by a join on the fingerprint, in which those
+with very many copies are broadcast, of which there can be no more than MOST_HOT.
 
 Defined cases: null text has no words; texts without words have fingerprint zero and are
-linked like others; a component is named by its least document id, null ids being passed
-over unless there is no other; repeated rows are in one component; an empty table gives
-no rows; other columns are not read.
+linked like others; a very long text is hashed in chunks; a component is named by its least
+document id, null ids being passed over unless there is no other; repeated rows are in one
+component; an empty table gives no rows; other columns may have any name and are not read.
 """
 
 from __future__ import annotations
@@ -40,8 +43,15 @@ SEED = 42
 #: Low bit and width of each part.
 PARTS = ((0, 22), (22, 21), (43, 21))
 CODE = 15
+#: Entries of an anchor that one task compares; beyond, slices of so many.
 HOT = 100_000
-SLICE = 25_000
+SLICE = 50_000
+#: Classes whose anchors are dealt to one part; each has about fifty entries of 16 bytes.
+PART_CLASSES = 50_000
+#: Copies beyond which a fingerprint's component is broadcast, and the most of these that there
+#: are: a fingerprint needs one in MOST_HOT of all rows as well.
+HOT_COPIES = 1000
+MOST_HOT = 100_000
 PAIRS = 1 << 21
 CHUNK = 1 << 16
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -141,14 +151,21 @@ def _array(parts: list[bytes | None], kind: type = np.uint64) -> np.ndarray:
     return np.frombuffer(b"".join(p for p in parts if p), kind)
 
 
-MET = "kind int, a bigint, b bigint, home_at binary, home binary, at binary, entry binary"
-_MET = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), *[(n, pa.binary()) for n in ("home_at", "home", "at", "entry")]])
+MET = "kind int, a bigint, b bigint, anchor bigint, side int, slice int, others int, held binary"
+_MET = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("anchor", pa.int64()), *[(n, pa.int32()) for n in ("side", "slice", "others")], ("held", pa.binary())])
 
 
 def _links(a: np.ndarray, b: np.ndarray) -> pa.Table:
     n = len(a)
-    none = pa.nulls(n, pa.binary())
-    return pa.Table.from_arrays([pa.array(np.zeros(n, np.int32)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), none, none, none, none], schema=_MET)
+    columns = [pa.array(np.zeros(n, np.int32)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))]
+    return pa.Table.from_arrays([*columns, *[pa.nulls(n, f.type) for f in list(_MET)[3:]]], schema=_MET)
+
+
+def _sliced(key: np.uint64, homes: np.ndarray, entries: np.ndarray, size: int) -> pa.Table:
+    """Both sides of a crowded anchor, every value once."""
+    cuts = [[x[i : i + size] for i in range(0, len(x), size)] for x in (homes, entries)]
+    rows = [(1, 0, 0, int(key.view(np.int64)), side, i, len(cuts[1 - side]), _binary(part)) for side in (0, 1) for i, part in enumerate(cuts[side])]
+    return pa.Table.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*rows, strict=True), _MET, strict=True)], schema=_MET)
 
 
 def links(classes: DataFrame, scratch: Scratch, partitions: int) -> DataFrame:
@@ -180,27 +197,30 @@ def links(classes: DataFrame, scratch: Scratch, partitions: int) -> DataFrame:
         hot = crowd > HOT
         out = [_links(*compared(home_at[~hot], home[~hot], at, entry))]
         for key in np.unique(home_at[hot]):
-            lo, hi = np.searchsorted(home_at, [key, key + np.uint64(1)])
-            first, last = np.searchsorted(at, [key, key + np.uint64(1)])
-            for start in range(lo, hi, SLICE):
-                piece = slice(start, min(hi, start + SLICE))
-                row = [[1], [0], [start], *[[_binary(x)] for x in (home_at[piece], home[piece], at[first:last], entry[first:last])]]
-                out.append(pa.Table.from_arrays([pa.array(v, f.type) for v, f in zip(row, _MET, strict=True)], schema=_MET))
+            mine = slice(*np.searchsorted(home_at, [key, key + np.uint64(1)]))
+            around = slice(*np.searchsorted(at, [key, key + np.uint64(1)]))
+            out.append(_sliced(key, home[mine], entry[around], SLICE))
         return pa.concat_tables(out)
 
     def crowded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                a, b = compared(*(_array([batch.column(n)[i].as_py()]) for n in ("home_at", "home", "at", "entry")))
+                home, entry = (_array([batch.column(n)[i].as_py()]) for n in ("home", "entry"))
+                a, b = compared(np.zeros(len(home), np.uint64), home, np.zeros(len(entry), np.uint64), entry)
                 yield from _links(a, b).select(["a", "b"]).to_batches()
 
     spread = classes.select("fp").mapInArrow(replicate, "part int, home_at binary, home binary, at binary, entry binary")
     met = scratch.write(spread.groupBy("part").applyInArrow(meet, MET))
     plain = met.filter("kind = 0").select("a", "b")
-    if met.filter("kind = 1").limit(1).count() == 0:
+    slices = met.filter("kind = 1")
+    if slices.limit(1).count() == 0:
         return plain
-    dealt = met.filter("kind = 1").select("home_at", "home", "at", "entry").repartition(partitions)
-    return plain.unionByName(dealt.mapInArrow(crowded, "a bigint, b bigint"))
+    # slice i of the homes and j of the entries
+    every = F.explode(F.sequence(F.lit(0), F.col("others") - 1))
+    homes = slices.filter("side = 0").select("anchor", F.col("slice").alias("i"), every.alias("j"), F.col("held").alias("home"))
+    entries = slices.filter("side = 1").select("anchor", every.alias("i"), F.col("slice").alias("j"), F.col("held").alias("entry"))
+    pairs = homes.join(entries, ["anchor", "i", "j"]).select("home", "entry")
+    return plain.unionByName(pairs.mapInArrow(crowded, "a bigint, b bigint"))
 
 
 def fingerprints(df: DataFrame, text: str = "text", keep: Sequence[str] = ("doc_id",), name: str = "fp") -> DataFrame:
@@ -213,19 +233,27 @@ def fingerprints(df: DataFrame, text: str = "text", keep: Sequence[str] = ("doc_
 
 
 def components(hashed: DataFrame, scratch: Scratch) -> DataFrame:
-    """fp, root (of all that are linked), component (their least key) for each fp of (key, fp)."""
-    partitions = int(hashed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    classes = scratch.write(hashed.groupBy("fp").agg(F.min("key").alias("first")))
+    """For each fp of (key, fp): root (of all that are linked), component (their least key), first
+    (its own least key) and copies (its rows)."""
+    classes = scratch.write(hashed.groupBy("fp").agg(F.min("key").alias("first"), F.count("*").alias("copies")))
+    partitions = max(int(hashed.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-classes.count() // PART_CLASSES))
     found = roots(links(classes, scratch, partitions), scratch)
     named = found.join(classes, F.col("node") == F.col("fp")).select("fp", "root", "first")
     whole = named.unionByName(classes.join(found.select(F.col("root").alias("fp")).distinct(), "fp").select("fp", F.col("fp").alias("root"), "first"))
     least = whole.groupBy("root").agg(F.min("first").alias("least"))
     joined = whole.join(least, "root").select("fp", "root", "least")
-    return classes.join(joined, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("least", "first").alias("component"))
+    told = classes.join(joined, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("least", "first").alias("component"), "first", "copies")
+    return scratch.write(told)
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, fp (bigint), component (least key of all that are linked); a row for each row."""
     scratch = Scratch(df.sparkSession)
     hashed = scratch.write(fingerprints(df, text, [key]).withColumnRenamed(key, "key"))
-    return hashed.join(components(hashed, scratch), "fp").select(F.col("key").alias(key), "fp", "component")
+    told = components(hashed, scratch)
+    rows = told.agg(F.sum("copies").alias("n")).first()["n"] or 0
+    hot = F.col("copies") > max(HOT_COPIES, rows // MOST_HOT)  # MOST_HOT fingerprints at most
+    crowds = F.broadcast(told.filter(hot).select("fp", "component"))
+    alone = hashed.join(F.broadcast(told.filter(hot).select("fp")), "fp", "left_anti").join(told.filter(~hot).select("fp", "component"), "fp")
+    both = hashed.join(crowds, "fp").select("key", "fp", "component").unionByName(alone.select("key", "fp", "component"))
+    return both.withColumnRenamed("key", key)

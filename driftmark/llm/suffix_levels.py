@@ -199,11 +199,9 @@ def repeated_spans(repeats: Repeats, scratch: Scratch) -> DataFrame:
 
     spans = ("home", "doc", "start", "end")
     found = scratch.write(repeats.candidates(look, FOUND))
-    scratch.settle()
     decided = scratch.write(found.filter("kind = 0").select("at", "doc", "start", "end", "anchor", "content").groupBy("at").applyInArrow(decide, DECIDED))
     near = scratch.write(found.filter("kind = 1").select(*spans).unionByName(decided.filter("kind = 1").select(*spans)))
     scratch.drop(found)
-    scratch.settle()
     sent = repeats.with_texts(decided.filter("kind = 2").select(*spans, "anchor"), fetch, SENT)
     far = scratch.write(sent.groupBy("at").applyInArrow(index, SPANS))
     return near.unionByName(far)
@@ -228,7 +226,6 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     scratch = Scratch(df.sparkSession)
     repeats = Repeats(df.select(quoted(key).alias("key"), quoted(text).alias("text")), byte_units, ANCHOR)
     spans = repeated_spans(repeats, scratch)
-    scratch.settle()
 
     def report(doc: int | None, text: bytes, removed: np.ndarray) -> tuple:
         return doc, len(text), int((removed[:, 1] - removed[:, 0]).sum()), len(removed), hashlib.sha256(cut(text, removed)).hexdigest()

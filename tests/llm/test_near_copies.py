@@ -79,6 +79,7 @@ def test_roots_in_spark(spark):
 def test_components_by_brute_force(spark, documents, corpus, monkeypatch, hot):
     monkeypatch.setattr(simhash, "HOT", hot)
     monkeypatch.setattr(simhash, "SLICE", 3)
+    monkeypatch.setattr(simhash, "HOT_COPIES", 2)
     rows = documents.unionByName(documents.filter("doc_id % 7 = 0")).selectExpr("doc_id", "text", "doc_id AS fp", "1 AS component_id")
     got = [(r.doc_id, r.fp & (1 << 64) - 1, r.component) for r in simhash.near_duplicates(rows.select("doc_id", "text")).collect()]
     assert len(got) == len(corpus) + sum(i % 7 == 0 for i, _ in corpus)
