@@ -2,6 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet
 and read again as the next stage's docs. All but the last return the columns of docs.
+
+Defined cases: null and empty texts pass through the stages like others (a null text stays
+null until it is encoded as no tokens); very long texts are judged, scanned and encoded whole;
+of repeated rows, and of near copies, near-dedup keeps one; rows without an id are decided by
+their texts; an empty table gives empty stages; other columns may have any name and are kept.
+Near-dedup links fingerprints of four-word shingles at 4 bits or fewer, as its operator does:
+exact copies always meet, near copies as far as their fingerprints do (README has figures).
 """
 
 from __future__ import annotations
@@ -44,28 +51,27 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     row = F.struct("text", *[quoted(c) for c in docs.columns if c != "text"])
     printed = simhash.fingerprints(docs, keep=docs.columns, name=fp)
     printed = scratch.write(printed.select(F.col("doc_id").alias("key"), F.col(fp).alias("fp"), row.alias("row")))
-    groups = simhash.components(printed.select("key", "fp"), scratch)
-    # rows of a group's least id: more than one where ids are null or repeated
-    counts = printed.groupBy("key", "fp").agg(F.count("*").alias("n")).withColumnRenamed("fp", "kept")
-    least = counts.join(groups, (F.col("kept") == F.col("fp")) & F.col("key").eqNullSafe(F.col("component"))).select("kept", "root", "component", "n")
-    least = scratch.write(least)
-    tied = least.groupBy("root").agg(F.sum("n").alias("n")).filter("n > 1").select("root")
+    told = simhash.components(printed.select("key", "fp"), scratch)
+    # fingerprints of a group that hold its least id: more than one where unlike rows share that id
+    least = told.filter(F.col("first").eqNullSafe(F.col("component"))).select(F.col("fp").alias("kept"), "root", "component")
 
-    def held(of: DataFrame) -> DataFrame:
-        return printed.join(of, (F.col("fp") == F.col("kept")) & F.col("key").eqNullSafe(F.col("component"))).select("root", "row")
+    def held(of: DataFrame, rows: DataFrame) -> DataFrame:
+        return rows.join(of, (F.col("fp") == F.col("kept")) & F.col("key").eqNullSafe(F.col("component")))
 
+    # a group has more than one such row where ids are null or repeated
+    tied = scratch.write(held(least, printed.select("key", "fp")).groupBy("root").agg(F.count("*").alias("n")).filter("n > 1").select("root"))
     if tied.limit(1).count():
         # the least row combines before the shuffle, so a large group does not meet in one task
-        first = held(least.join(tied, "root", "left_semi")).groupBy("root").agg(F.min("row").alias("row"))
-        out = held(least.join(tied, "root", "left_anti")).unionByName(first)
+        first = held(least.join(tied, "root", "left_semi"), printed).groupBy("root").agg(F.min("row").alias("row"))
+        out = held(least.join(tied, "root", "left_anti"), printed).select("root", "row").unionByName(first)
     else:
-        out = held(least)
+        out = held(least, printed)
     return out.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 @shipped
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents of which benchmark windows cover a twentieth of the words or more."""
+    """Drops documents in which a benchmark window occurs, however long they are."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -107,5 +113,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         result = stage(spark, docs, sf_dir)
         if number + 1 == len(STAGES):
             return result
-        docs = scratch.write(result)
+        before, docs = docs, scratch.write(result)
+        if number:  # what the stage before wrote has been read
+            scratch.drop(before)
     raise ValueError("there is no stage")
