@@ -8,7 +8,10 @@ can hold a repeated window, and only these need a closer look.
 Anchors are sent as packed arrays, not as rows. A map task sends each anchor of its share
 once, however many of its documents hold it, so an anchor of a common passage costs an
 entry for each map task and not for each document; what repeats inside the share is known
-there at once. Documents and findings meet by a hash of the document's id.
+there at once. Documents and findings meet at homes, by a hash of the document's id; homes
+and parts are as many as the bytes of the collection ask for. Within a home a text is known
+by its place among the distinct (id, text) of that home, so rows that share an id stay apart
+and repeated rows are read once.
 
 Units are bytes or hashed words, WINDOW units make a window. Rows without an id take no
 part: they repeat nothing and are repeated by nothing.
@@ -16,7 +19,7 @@ part: they repeat nothing and are repeated by nothing.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +33,12 @@ WINDOW = 50
 PORTION = 1 << 18
 #: Anchors that a map task gathers before it sends them.
 GATHERED = 1 << 19
+#: Bytes of text of one home, and of the texts whose anchors go to one part.
+HOME_BYTES = 8 << 20
+PART_BYTES = 8 << 20
+LEAST_GROUPS = 4
+#: Bytes of text of one task, where the session's number of shuffle partitions is too low for it.
+TASK_BYTES = 64 << 20
 _PLACE = np.uint64((1 << 24) - 1)
 _ORDER = np.uint64(~((1 << 24) - 1) & (1 << 64) - 1)
 
@@ -122,8 +131,8 @@ def portions(arrays: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray,
         yield full()
 
 
-def pieces(units: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor, segment, start, count) of the runs of windows that share an anchor's place."""
+def pieces(units: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor, segment, start, count, place) of the runs of windows that share an anchor's place."""
     hashes = windows(units, k)
     placed = hashes & _ORDER | np.arange(len(hashes), dtype=np.uint64)
     least = window_minima(placed, WINDOW - k + 1)
@@ -131,10 +140,11 @@ def pieces(units: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, n
     starts = np.flatnonzero(segment[: len(least)] == segment[WINDOW - 1 :])
     least, segment = least[starts], segment[starts]
     if not len(starts):
-        return np.empty(0, np.uint64), segment, starts, starts
+        return np.empty(0, np.uint64), segment, starts, starts, starts
     first = np.flatnonzero(np.concatenate([[True], (least[1:] != least[:-1]) | (segment[1:] != segment[:-1])]))
     count = np.diff(np.append(first, len(starts)))
-    return hashes[(least[first] & _PLACE).astype(np.int64)], segment[first], starts[first], count
+    place = (least[first] & _PLACE).astype(np.int64)
+    return hashes[place], segment[first], starts[first], count, place
 
 
 def tokens_of(anchors: np.ndarray, parts: int) -> np.ndarray:
@@ -181,24 +191,81 @@ def dealt(where: np.ndarray, *arrays: np.ndarray) -> Iterator[tuple]:
         yield int(where[start]), *[a[start:stop] for a in arrays]
 
 
+def binary(rows: np.ndarray) -> pa.Array:
+    """A binary array of the rows of a matrix of bytes."""
+    offsets = np.arange(len(rows) + 1, dtype=np.int32) * np.int32(rows.shape[1])
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(rows))])
+
+
+def flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a binary column without nulls end to end, and the length of each value."""
+    parts, sizes = [np.empty(0, np.uint8)], [np.empty(0, np.int64)]
+    for chunk in column.cast(pa.binary()).chunks:
+        ends = np.frombuffer(chunk.buffers()[1], np.int32)[chunk.offset : chunk.offset + len(chunk) + 1] if len(chunk) else np.zeros(1, np.int32)
+        if len(chunk) and ends[-1] > ends[0]:
+            parts.append(np.frombuffer(chunk.buffers()[2], np.uint8)[ends[0] : ends[-1]])
+        sizes.append(np.diff(ends).astype(np.int64))
+    return np.concatenate(parts), np.concatenate(sizes)
+
+
+def within(sizes: np.ndarray) -> np.ndarray:
+    """0, 1, ... for each size, one after the other."""
+    return np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+KINDS = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+
+
+def schema_of(schema: str) -> pa.Schema:
+    return pa.schema([(f.split()[0], KINDS[f.split()[1]]) for f in schema.split(", ")])
+
+
+def filled(schema: str, n: int, **columns: object) -> pa.Table:
+    """n rows under a schema; columns that are not given are null."""
+    fields = schema_of(schema)
+    return pa.Table.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in fields], schema=fields)
+
+
 def as_table(rows: list[tuple], schema: str) -> pa.Table:
     """Rows under a schema of int, bigint, string and binary columns."""
-    kinds = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string(), "binary": pa.binary(), "array<bigint>": pa.list_(pa.int64())}
-    fields = [f.split() for f in schema.split(", ")]
+    fields = schema_of(schema)
     columns = list(zip(*rows, strict=True)) if rows else [[] for _ in fields]
-    return pa.table({name: pa.array(c, kinds[kind]) for (name, kind), c in zip(fields, columns, strict=True)})
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)], schema=fields)
+
+
+def distinct(docs: pa.Table) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """The ids and texts of a home's distinct (id, text) in order, and the place of each row among them."""
+    ids = docs.column("doc").to_pylist()
+    texts = docs.column("text").cast(pa.binary()).to_pylist()
+    order = sorted(range(len(ids)), key=lambda i: (ids[i], texts[i]))
+    place, kept = np.empty(len(ids), np.int64), []
+    for i in order:
+        if not kept or ids[kept[-1]] != ids[i] or texts[kept[-1]] != texts[i]:
+            kept.append(i)
+        place[i] = len(kept) - 1
+    return np.array([ids[i] for i in kept], np.int64), [texts[i] for i in kept], place
 
 
 class Repeats:
     """Candidates of one collection: documents, and the anchors that they share with others."""
 
-    def __init__(self, docs: DataFrame, units: Units, k: int, key: str = "key", text: str = "text") -> None:
+    def __init__(self, docs: DataFrame, units: Units, k: int, key: str = "key", text: str = "text", levels: Sequence[float] = (0.25, 0.5, 0.75)) -> None:
         self.units, self.k = units, k
-        self.parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-        self.homes = 2 * self.parts
         kept = docs.select(F.col(key).cast("long").alias("doc"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
         self.without_id = kept.filter(F.col("doc").isNull())
         self.docs = kept.filter(F.col("doc").isNotNull())
+        told = self.docs.agg(F.sum(F.octet_length("text")).alias("n"), F.percentile_approx("doc", list(levels), 1000).alias("cuts")).first()
+        size = told["n"] or 0
+        #: Ids that cut the documents into ranges of about equal numbers.
+        self.cuts = np.array(told["cuts"] or [], np.int64)
+        self.homes = max(LEAST_GROUPS, -(-size // HOME_BYTES))
+        self.parts = max(LEAST_GROUPS, -(-size // PART_BYTES))
+        self.tasks = -(-size // TASK_BYTES)
+
+    def spread(self, df: DataFrame, by: str) -> DataFrame:
+        """Rows by a column, in enough tasks for the collection."""
+        few = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return df.repartition(self.tasks, by) if self.tasks > few else df
 
     def at_home(self) -> DataFrame:
         return self.docs.select(home_column(F.col("doc"), self.homes).alias("home"), "doc", "text")
@@ -231,7 +298,7 @@ class Repeats:
                 texts = batch.column(1).cast(pa.binary()).to_pylist()
                 for first, held in packs(texts):
                     for portion, owners, _, bounds in portions(units(held)):
-                        anchor, segment, _, _ = pieces(portion, bounds, k)
+                        anchor, segment, _, _, _ = pieces(portion, bounds, k)
                         if len(anchor):
                             found.append((anchor, ids[first + owners[segment]]))
                             size += len(anchor)
@@ -261,27 +328,27 @@ class Repeats:
             return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["home", "docs", "tokens"])
 
         sent = self.docs.mapInArrow(gather, "kind int, at int, docs binary, tokens binary")
-        return sent.groupBy("at").applyInArrow(meet, "home int, docs binary, tokens binary")
+        return self.spread(sent, "at").groupBy("at").applyInArrow(meet, "home int, docs binary, tokens binary")
 
-    def candidates(self, make: Callable[[np.ndarray, list[bytes], Callable], Iterator[tuple]], schema: str) -> DataFrame:
-        """Rows that make() yields for the documents of a home.
+    def candidates(self, make: Callable[[int, np.ndarray, list[bytes], Callable], pa.Table], schema: str) -> DataFrame:
+        """What make() gives for the documents of each home.
 
-        make(ids, texts, found) gets found(), which yields (portion of units, document index,
-        start in the portion, start in the document, count, anchor) of all candidate pieces.
+        make(home, ids, texts, found) gets the home's distinct texts and found(), which yields
+        (portion of units, place of the text, start in the portion, start in the text, count,
+        anchor, anchor's place in the portion) of all candidate pieces.
         """
         parts, units, k = self.parts, self.units, self.k
 
         def look(docs: pa.Table, hits: pa.Table) -> pa.Table:
-            ids = docs.column("doc").to_numpy()
-            texts = docs.column("text").cast(pa.binary()).to_pylist()
+            if not docs.num_rows or not hits.num_rows:
+                return as_table([], schema)
+            ids, texts, _ = distinct(docs)
             known = np.unique(pairs_of(unpack_ids(hits.column("docs").to_pylist()), unpack_ids(hits.column("tokens").to_pylist()).view(np.uint64)))
 
             def found() -> Iterator[tuple]:
-                if not len(known):
-                    return
                 for first, held in packs(texts):
                     for portion, owners, bases, bounds in portions(units(held)):
-                        anchor, segment, start, count = pieces(portion, bounds, k)
+                        anchor, segment, start, count, place = pieces(portion, bounds, k)
                         owner = first + owners[segment]
                         pair = pairs_of(ids[owner], tokens_of(anchor, parts))
                         at = np.searchsorted(known, pair)
@@ -289,30 +356,33 @@ class Repeats:
                         hit = known[at] == pair
                         if hit.any():
                             segment, start = segment[hit], start[hit]
-                            yield portion, owner[hit], start, start - bounds[segment] + bases[segment], count[hit], anchor[hit]
+                            yield portion, owner[hit], start, start - bounds[segment] + bases[segment], count[hit], anchor[hit], place[hit]
 
-            return as_table(list(make(ids, texts, found)), schema)
+            return make(docs.column("home")[0].as_py(), ids, texts, found)
 
         return self.with_texts(self.shared(), look, schema)
 
     def with_texts(self, packed: DataFrame, visit: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
         """Documents (doc, text) and packed rows of each home, seen together."""
-        return self.at_home().groupBy("home").cogroup(packed.groupBy("home")).applyInArrow(visit, schema)
+        texts, rows = self.spread(self.at_home(), "home"), self.spread(packed, "home")
+        return texts.groupBy("home").cogroup(rows.groupBy("home")).applyInArrow(visit, schema)
 
-    def finished(self, spans: DataFrame, make: Callable[[int | None, bytes, np.ndarray], tuple], schema: str) -> DataFrame:
+    def finished(self, told: DataFrame, spans: Callable[[np.ndarray, list[bytes], pa.Table], tuple], make: Callable[[int | None, bytes, np.ndarray], tuple], schema: str) -> DataFrame:
         """A row for each document: make(id, text, removed spans), spans disjoint and ascending.
 
-        spans: (home, doc, start, end) as packed arrays; those of one document may overlap.
+        spans(ids, texts, told rows of the home) gives (place of the text, start, end), which may overlap.
         """
-        def apply(docs: pa.Table, cut: pa.Table) -> pa.Table:
-            doc, start, end = (unpack_ids(cut.column(n).to_pylist()) for n in ("doc", "start", "end"))
-            order = np.lexsort((start, doc))
-            doc, start, end = doc[order], start[order], end[order]
-            rows = []
-            for key, text in zip(docs.column("doc").to_pylist(), docs.column("text").cast(pa.binary()), strict=True):
-                lo, hi = np.searchsorted(doc, [key, key + 1])
-                rows.append(make(key, text.as_py(), united(start[lo:hi], end[lo:hi])))
-            return as_table(rows, schema)
+
+        def apply(docs: pa.Table, rows: pa.Table) -> pa.Table:
+            if not docs.num_rows:
+                return as_table([], schema)
+            ids, texts, place = distinct(docs)
+            at, start, end = spans(ids, texts, rows)
+            order = np.lexsort((start, at))
+            at, start, end = at[order], start[order], end[order]
+            bounds = np.searchsorted(at, np.arange(len(ids) + 1))
+            done = [make(key, text, united(start[lo:hi], end[lo:hi])) for key, text, lo, hi in zip(ids.tolist(), texts, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+            return as_table([done[p] for p in place.tolist()], schema)
 
         def untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             none = np.empty((0, 2), np.int64)
@@ -320,7 +390,7 @@ class Repeats:
                 texts = batch.column(1).cast(pa.binary())
                 yield from as_table([make(None, t.as_py(), none) for t in texts], schema).to_batches()
 
-        done = self.with_texts(spans, apply, schema)
+        done = self.with_texts(told, apply, schema)
         return done.unionByName(self.without_id.mapInArrow(untouched, schema))
 
 

@@ -1,210 +1,240 @@
 """Suffix-array dedup by a logarithmic family of indexes.
 
-An index level is a suffix array: the suffixes that start in its documents, cut after
-WINDOW bytes and sorted, with the least document of each. A new batch gets a suffix array
-of its own and is merge-scanned against every level; a suffix that some level or the batch
-itself holds for a lesser document is a repeat. The batch then joins the family: levels of
-equal size merge, so a collection of n suffixes has at most log n levels and each suffix
-is merged log n times.
-
-The family is distributed by content. A window's anchor (see repeats) decides which task
-indexes it, so equal windows always meet, and the task's batches come in ascending
-document order. Pieces of documents whose anchor no other document has are not sent.
-Equal pieces are settled before their windows are, by hashes of anchor and content and by
-length: first among the documents of a home, then for each anchor. Only where an anchor has
-different pieces are the texts visited again, and the bytes of each piece's least document
-are sent, indexed by their windows and compared byte by byte.
+A level is a Parquet table of sampled suffixes in sorted order: for each anchor (see repeats)
+that several documents hold, the WINDOW bytes from the anchor on, then the bytes before it,
+as far as the windows that share this anchor reach, and the least document that has them. A
+new batch of documents gets a suffix array of its own, is merge-scanned against every level,
+and joins the family: levels of equal size merge with it, so n batches leave at most log n
+levels and each suffix is rewritten log n times.
+
+Where the suffixes of one anchor are equal on both sides they match from end to end. Where
+they differ, every window that they reach over is a suffix of its own; these are sorted, byte
+by byte, and each gets the least document of its equals. All bytes that are removed are
+removed by a match that a scan found, in a level or in the batch itself; long matches are
+runs of windows, joined where they touch. Batches come in ascending order of their documents,
+so a level only ever holds lesser ones.
+
+The family is distributed by anchors: equal windows have equal anchors, so they meet in one
+part, of which there are as many as the bytes ask for. Before a batch is sent, the equal
+suffixes of a home are one row, compared byte by byte, with their places kept at the home.
 
 Defined cases: null text is empty and keeps nothing; texts of fewer than WINDOW bytes
-lose nothing; rows of equal ids are no lesser document to each other, so repeated rows are
-only cut by other ids; rows without an id come out whole and cut nothing; an empty table
-gives no rows; other columns are not read.
+lose nothing; rows of equal ids are no lesser document to each other, whether their texts are
+equal or not, and each row only loses what itself shares with a lesser id; rows without an id
+come out whole and cut nothing; a very long text is read in portions; an empty table gives no
+rows; other columns may have any name and are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from driftmark.llm.common import Scratch, quoted
-from driftmark.llm.repeats import WINDOW, Repeats, as_table, byte_units, dealt, home_of, pack_ids, span_hashes, unpack, unpack_ids
-from driftmark.llm.rolling import mixed
+from driftmark.llm.repeats import WINDOW, Repeats, as_table, binary, byte_units, dealt, filled, flat, pack_ids, span_hashes, unpack_ids, within
 
 ANCHOR = 20
-#: Suffixes of one batch.
-BATCH = 1 << 16
-
-
-class SuffixFamily:
-    """Suffix arrays of geometrically growing sizes over fixed-width suffixes."""
-
-    def __init__(self) -> None:
-        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def add(self, suffixes: np.ndarray, docs: np.ndarray) -> np.ndarray:
-        """Which suffixes a lesser document holds, now that the batch is part of the family.
-
-        suffixes: array of fixed-width bytes ending in a byte other than zero; no document may
-        be less than those of earlier batches, for else it would not be held against them.
-        """
-        order = np.argsort(suffixes, kind="stable")
-        ordered = suffixes[order]
-        new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
-        keys, group = ordered[new], np.cumsum(new) - 1
-        least = np.minimum.reduceat(docs[order], np.flatnonzero(new))
-        earliest = least.copy()
-        for held, owner in self.levels:  # both are sorted: one scan
-            at = np.searchsorted(held, keys)
-            at[at == len(held)] = 0
-            same = held[at] == keys
-            earliest[same] = np.minimum(earliest[same], owner[at[same]])
-        self._insert(keys, least)
-        out = np.empty(len(docs), bool)
-        out[order] = earliest[group] < docs[order]
-        return out
-
-    def _insert(self, keys: np.ndarray, docs: np.ndarray) -> None:
-        while self.levels and len(self.levels[-1][0]) <= len(keys):
-            held, owner = self.levels.pop()
-            both, owners = np.concatenate([held, keys]), np.concatenate([owner, docs])
-            order = np.argsort(both, kind="stable")  # two sorted runs: a merge
-            both, owners = both[order], owners[order]
-            new = np.concatenate([[True], both[1:] != both[:-1]])
-            keys, docs = both[new], np.minimum.reduceat(owners, np.flatnonzero(new))
-        self.levels.append((keys, docs))
-
-
-def _suffixes(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """The WINDOW bytes from each start as fixed-width strings with a last byte of one."""
-    wide = np.ones((len(starts), WINDOW + 1), np.uint8)
-    wide[:, :WINDOW] = np.lib.stride_tricks.sliding_window_view(data, WINDOW)[starts]
+#: Bytes that the windows of one anchor reach before it.
+BEFORE = WINDOW - ANCHOR
+#: Windows that are sorted at a time, unless one anchor has more.
+SORTED = 1 << 18
+#: A suffix: WINDOW bytes from the anchor, BEFORE bytes before it, padded; bytes before the anchor, and in all.
+WIDTH = WINDOW + BEFORE + 2
+
+
+def records(data: np.ndarray, start: np.ndarray, count: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The suffixes of pieces, as rows of WIDTH bytes."""
+    padded = np.concatenate([np.zeros(BEFORE, np.uint8), data, np.zeros(WINDOW, np.uint8)])
+    around = np.lib.stride_tricks.sliding_window_view(padded, BEFORE + WINDOW)[place]
+    column = np.arange(BEFORE + WINDOW)[None]
+    left, size = place - start, count + WINDOW - 1
+    inside = (column >= (BEFORE - left)[:, None]) & (column < (BEFORE - left + size)[:, None])
+    around = np.where(inside, around, 0).astype(np.uint8)
+    return np.hstack([around[:, BEFORE:], around[:, :BEFORE], left[:, None].astype(np.uint8), size[:, None].astype(np.uint8)])
+
+
+def counts_of(rows: np.ndarray) -> np.ndarray:
+    return rows[:, -1].astype(np.int64) - (WINDOW - 1)
+
+
+def windows_of(rows: np.ndarray) -> np.ndarray:
+    """All windows of suffixes, one after the other, as strings that end in a byte of one."""
+    text = np.hstack([rows[:, WINDOW : WINDOW + BEFORE], rows[:, :WINDOW]])
+    n = counts_of(rows)
+    which = np.repeat(np.arange(len(rows)), n)
+    column = BEFORE - rows[:, -2].astype(np.int64)[which] + within(n)
+    wide = np.ones((len(which), WINDOW + 1), np.uint8)
+    wide[:, :WINDOW] = np.lib.stride_tricks.sliding_window_view(text, WINDOW, axis=1)[which, column]
     return wide.reshape(-1).view(f"S{WINDOW + 1}")
 
 
-def _runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the runs of true values."""
-    edges = np.diff(np.concatenate([[0], mask.view(np.int8), [0]]))
-    return np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
-
+def starts_of(keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin; of rows of a matrix, of equal rows."""
+    if not len(keys):
+        return np.empty(0, np.int64)
+    changed = keys[1:] != keys[:-1]
+    return np.flatnonzero(np.concatenate([[True], changed.any(1) if changed.ndim > 1 else changed]))
+
+
+def matched(key: np.ndarray, rows: np.ndarray, doc: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(suffix, first window, last window + 1, least document of those windows) for the asked suffixes.
+
+    key: the anchor of each suffix; those of anchors that nothing asks for are passed over.
+    """
+    order = np.argsort(key, kind="stable")
+    order = order[np.isin(key[order], key[asked])]
+    first = starts_of(key[order])
+    sizes = np.diff(np.append(first, len(order)))
+    group = np.repeat(np.arange(len(first)), sizes)
+    same = (rows[order] == rows[order[first[group]]]).all(1) if len(order) else np.empty(0, bool)
+    alike = np.logical_and.reduceat(same, first)[group] if len(order) else same
+    least = np.minimum.reduceat(doc[order], first)[group] if len(order) else doc[order]
+    told = alike & asked[order]
+    out = [(order[told], np.zeros(told.sum(), np.int64), counts_of(rows[order[told]]), least[told])]
+    # anchors whose suffixes differ: window by window, some anchors at a time
+    rest = order[~alike]
+    total = np.cumsum(counts_of(rows[rest]))
+    begins = starts_of(key[rest])
+    at = 0
+    while at < len(begins):
+        done = total[begins[at] - 1] if begins[at] else 0
+        ends = np.append(begins[1:], len(rest))
+        stop = max(at + 1, int(np.searchsorted(total[ends - 1], done + SORTED, "right")))
+        part = rest[begins[at] : ends[stop - 1]]
+        n = counts_of(rows[part])
+        owner = np.repeat(part, n)
+        suffixes = windows_of(rows[part])
+        by = np.argsort(suffixes, kind="stable")
+        heads = starts_of(suffixes[by])
+        lowest = np.empty(len(by), np.int64)
+        lowest[by] = np.repeat(np.minimum.reduceat(doc[owner][by], heads), np.diff(np.append(heads, len(by))))
+        wanted = asked[owner]
+        owner, offset, lowest = owner[wanted], within(n)[wanted], lowest[wanted]
+        runs = starts_of(np.stack([owner, lowest], 1))
+        if len(runs):
+            out.append((owner[runs], offset[runs], offset[np.append(runs[1:] - 1, len(owner) - 1)] + 1, lowest[runs]))
+        at = stop
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def merged(key: np.ndarray, rows: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One sorted run of several: equal suffixes once, with their least document."""
+    order = np.argsort(np.ascontiguousarray(rows).view(f"V{rows.shape[1]}").reshape(-1).view(f"S{rows.shape[1]}") if len(rows) else doc, kind="stable")
+    key, rows, doc = key[order], rows[order], doc[order]
+    first = starts_of(rows)
+    return key[first], rows[first], np.minimum.reduceat(doc, first) if len(first) else doc
+
+
+LEVEL = "part int, key bigint, record binary, doc bigint"
+SCANNED = "kind int, part int, key bigint, record binary, doc bigint, home int, pieces binary, starts binary, ends binary, least binary"
+
+
+class SuffixLevels:
+    """The family: sorted suffixes on storage, in levels of geometrically growing size."""
+
+    def __init__(self, scratch: Scratch, spread: Callable[[DataFrame, str], DataFrame]) -> None:
+        self.scratch, self.spread = scratch, spread
+        #: (batches, table) of each level, the largest first.
+        self.levels: list[tuple[int, DataFrame]] = []
+
+    def add(self, batch: DataFrame, last: bool = False) -> DataFrame:
+        """What is repeated of a batch of suffixes (part, key, record, doc, last, home, piece), of
+        which no doc may be less than those of earlier batches: (home, pieces, starts, ends,
+        least), packed: windows of a piece and the least document that has them, where that is
+        less than the last document that has the piece. The batch then is part of the family; a
+        last one only is scanned.
+        """
+        size, merging = 1, []
+        for batches, _ in reversed(self.levels):
+            if batches != size:
+                break
+            merging.append(len(self.levels) - 1 - len(merging))
+            size *= 2
+        joining = [] if last else [-1, *merging]
+
+        def scan(group: pa.Table) -> pa.Table:
+            level = group.column("level").to_numpy()
+            key, doc = (group.column(n).to_numpy() for n in ("key", "doc"))
+            rows = flat(group.column("record"))[0].reshape(-1, WIDTH)
+            which, start, end, least = matched(key, rows, doc, level == -1)
+            final = group.column("last").to_numpy()
+            late = least < final[which]
+            which, start, end, least = which[late], start[late], end[late], least[late]
+            home, piece = (group.column(n).to_numpy().astype(np.int64) for n in ("home", "piece"))
+            packed = [(1, h, *map(pack_ids, x)) for h, *x in dealt(home[which], piece[which], start, end, least)]
+            columns = list(zip(*packed, strict=True)) if packed else [[] for _ in range(6)]
+            out = filled(SCANNED, len(packed), **dict(zip(("kind", "home", "pieces", "starts", "ends", "least"), columns, strict=True)))
+            if not joining:
+                return out
+            chosen = np.isin(level, joining)
+            key, rows, doc = merged(key[chosen], rows[chosen], doc[chosen])
+            held = filled(SCANNED, len(doc), kind=np.zeros(len(doc), np.int32), part=np.full(len(doc), group.column("part")[0].as_py(), np.int32), key=key, record=binary(rows), doc=doc)
+            return pa.concat_tables([out, held])
+
+        rows = batch.select(F.lit(-1).alias("level"), "part", "key", "record", "doc", "last", "home", "piece")
+        for i, (_, table) in enumerate(self.levels):
+            nothing = F.lit(0)
+            rows = rows.unionByName(table.select(F.lit(i).alias("level"), "part", "key", "record", "doc", nothing.cast("long").alias("last"), nothing.alias("home"), nothing.alias("piece")))
+        out = self.scratch.write(self.spread(rows, "part").groupBy("part").applyInArrow(scan, SCANNED))
+        if not last:
+            self.levels = [x for i, x in enumerate(self.levels) if i not in merging]
+            self.levels.append((size, out.filter("kind = 0").select("part", "key", "record", "doc")))
+        return out.filter("kind = 1").select("home", "pieces", "starts", "ends", "least")
+
+
+FOUND = "kind int, home int, part int, batch int, key bigint, record binary, doc bigint, last bigint, piece int, pieces binary, texts binary, places binary"
+
+
+def suffixes(repeats: Repeats) -> DataFrame:
+    """kind 0: the distinct suffixes of each home; kind 1, packed: where they are in its texts."""
+    parts, cuts = repeats.parts, repeats.cuts
+
+    def look(home: int, ids: np.ndarray, texts: list[bytes], found: Callable) -> pa.Table:
+        listed = []
+        for portion, owner, start, place, count, anchor, at in found():
+            listed.append((owner, place, anchor, span_hashes(portion, start, start + count + WINDOW - 1), records(portion, start, count, at)))
+        if not listed:
+            return as_table([], FOUND)
+        owner, place, anchor, name, rows = (np.concatenate(x) for x in zip(*listed, strict=True))
+        order = np.lexsort((place, owner, name))
+        owner, place, anchor, name, rows = (x[order] for x in (owner, place, anchor, name, rows))
+        new = np.concatenate([[True], (name[1:] != name[:-1]) | (rows[1:] != rows[:-1]).any(1)])
+        first = np.flatnonzero(new)
+        least, last = ids[owner[first]], ids[owner[np.append(first[1:] - 1, len(owner) - 1)]]  # texts are in order of their ids
+        n = len(first)
+        part = ((anchor[first] >> np.uint64(32)) % np.uint64(parts)).astype(np.int32)
+        batch = np.searchsorted(cuts, least, "right").astype(np.int32)
+        held = filled(FOUND, n, kind=np.zeros(n, np.int32), home=np.full(n, home, np.int32), part=part, batch=batch, key=anchor[first].view(np.int64), record=binary(rows[first]), doc=least, last=last, piece=np.arange(n, dtype=np.int32))
+        where = filled(FOUND, 1, kind=[1], home=[home], pieces=[pack_ids(np.cumsum(new) - 1)], texts=[pack_ids(owner)], places=[pack_ids(place)])
+        return pa.concat_tables([held, where])
 
-def _within(sizes: np.ndarray) -> np.ndarray:
-    """0, 1, ... for each size, one after the other."""
-    return np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return repeats.candidates(look, FOUND)
 
 
-FOUND = "kind int, at int, home int, doc binary, start binary, end binary, anchor binary, content binary"
-DECIDED = "kind int, home int, doc binary, start binary, end binary, anchor binary"
-SENT = "at int, doc binary, start binary, end binary, anchor binary, data binary"
-SPANS = "home int, doc binary, start binary, end binary"
+TOLD = ("pieces", "texts", "places", "starts", "ends", "least")
 
 
-def repeated_spans(repeats: Repeats, scratch: Scratch) -> DataFrame:
-    """(home, doc, start, end), packed: bytes covered by windows that a lesser document holds."""
-    parts, homes = repeats.parts, repeats.homes
+def removed_spans(ids: np.ndarray, _: list[bytes], told: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, start, end): places of pieces in texts whose id is above the least document of their windows."""
+    seen = [x is not None for x in told.column("texts").to_pylist()]
 
-    def part_of(anchor: np.ndarray) -> np.ndarray:
-        return ((anchor >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+    def column(name: str, places: bool) -> np.ndarray:
+        return unpack_ids([x for x, s in zip(told.column(name).to_pylist(), seen, strict=True) if s == places])
 
-    def look(ids: np.ndarray, texts: list[bytes], found: object) -> Iterator[tuple]:
-        """Pieces that a lesser document of this home holds are removed; of the others the names are sent."""
-        listed = []
-        for portion, owner, start, place, count, anchor in found():
-            end = start + count + WINDOW - 1
-            listed.append((ids[owner], place, count, anchor, span_hashes(portion, start, end)))
-        if not listed:
-            return
-        doc, place, count, anchor, content = (np.concatenate(x) for x in zip(*listed, strict=True))
-        end = place + count + WINDOW - 1
-        name = mixed(anchor + mixed(content))
-        order = np.lexsort((place, doc, name))
-        first = np.flatnonzero(np.concatenate([[True], name[order][1:] != name[order][:-1]]))
-        least = np.repeat(doc[order][first], np.diff(np.append(first, len(order))))
-        late = doc[order] > least
-        home = int(home_of(doc[:1], homes)[0])
-        gone, sent = order[late], order[~late]
-        if len(gone):
-            yield 1, home, home, pack_ids(doc[gone]), pack_ids(place[gone]), pack_ids(end[gone]), None, None
-        for part, rows in dealt(part_of(anchor[sent]), sent):
-            yield 0, part, home, pack_ids(doc[rows]), pack_ids(place[rows]), pack_ids(end[rows]), anchor[rows].tobytes(), content[rows].tobytes()
-
-    def decide(group: pa.Table) -> pa.Table:
-        """Later copies of equal pieces are removed (kind 1). Where an anchor has different
-        pieces, those of each piece's least document are asked for (kind 2)."""
-        doc, start, end = (unpack_ids(group.column(n).to_pylist()) for n in ("doc", "start", "end"))
-        anchor, content = (unpack(group.column(n).to_pylist(), np.uint64) for n in ("anchor", "content"))
-        order = np.lexsort((start, doc, end - start, content, anchor))
-        doc, start, end, anchor, content = (x[order] for x in (doc, start, end, anchor, content))
-        new_anchor = np.concatenate([[True], anchor[1:] != anchor[:-1]])
-        new_piece = new_anchor | np.concatenate([[True], (content[1:] != content[:-1]) | (end[1:] - start[1:] != end[:-1] - start[:-1])])
-        first = np.flatnonzero(new_piece)
-        late = doc > doc[first][np.cumsum(new_piece) - 1]
-        number = np.cumsum(new_anchor) - 1
-        asked = (np.bincount(number[first])[number] > 1) & ~late
-        rows = [(1, h, pack_ids(d), pack_ids(s), pack_ids(e), None) for h, d, s, e in dealt(home_of(doc[late], homes), doc[late], start[late], end[late])]
-        rows += [(2, h, pack_ids(d), pack_ids(s), pack_ids(e), a.tobytes()) for h, d, s, e, a in dealt(home_of(doc[asked], homes), doc[asked], start[asked], end[asked], anchor[asked])]
-        return as_table(rows, DECIDED)
-
-    def fetch(docs: pa.Table, asked: pa.Table) -> pa.Table:
-        """The bytes of the pieces that are asked for, sent to their anchor's task."""
-        if not asked.num_rows:
-            return as_table([], SENT)
-        doc, start, end = (unpack_ids(asked.column(n).to_pylist()) for n in ("doc", "start", "end"))
-        anchor = unpack(asked.column("anchor").to_pylist(), np.uint64)
-        ids = docs.column("doc").to_numpy()
-        by_id = np.argsort(ids, kind="stable")
-        texts = docs.column("text").cast(pa.binary()).to_pylist()
-        # of rows that share an id, each may be the one that the piece is from
-        lo, hi = np.searchsorted(ids[by_id], doc, "left"), np.searchsorted(ids[by_id], doc, "right")
-        which = np.repeat(np.arange(len(doc)), hi - lo)
-        row = by_id[np.repeat(lo, hi - lo) + _within(hi - lo)]
-        fits = end[which] <= np.array([len(t) for t in texts])[row]
-        which, row = which[fits], row[fits]
-        rows = []
-        for part, w, r in dealt(part_of(anchor[which]), which, row):
-            data = b"".join([texts[t][a:b] for t, a, b in zip(r.tolist(), start[w].tolist(), end[w].tolist(), strict=True)])
-            rows.append((part, pack_ids(doc[w]), pack_ids(start[w]), pack_ids(end[w]), anchor[w].tobytes(), data))
-        return as_table(rows, SENT)
-
-    def index(group: pa.Table) -> pa.Table:
-        """Windows of the pieces of this part's anchors, in batches of ascending documents."""
-        doc, start, end = (unpack_ids(group.column(n).to_pylist()) for n in ("doc", "start", "end"))
-        data = unpack(group.column("data").to_pylist(), np.uint8)
-        size = end - start
-        head = np.cumsum(size) - size
-        rows = np.argsort(doc, kind="stable")
-        family = SuffixFamily()
-        counts = size[rows] - WINDOW + 1
-        ends = np.cumsum(counts)
-        out: list[tuple] = []
-        at = 0
-        while at < len(rows):
-            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BATCH, "right")))
-            batch, n = rows[at:stop], counts[at:stop]
-            repeated = family.add(_suffixes(data, np.repeat(head[batch], n) + _within(n)), np.repeat(doc[batch], n))
-            # runs of repeated windows, a false one between two pieces
-            padded = np.zeros(len(repeated) + len(batch), bool)
-            padded[np.arange(len(repeated)) + np.repeat(np.arange(len(batch)), n)] = repeated
-            lo, hi = _runs(padded)
-            borders = np.cumsum(n + 1)
-            which = np.searchsorted(borders, lo, "right")
-            base = start[batch][which] - (borders - n - 1)[which]
-            out.append((doc[batch][which], base + lo, base + hi - 1 + WINDOW))
-            at = stop
-        docs, starts, ends_ = (np.concatenate(x) for x in zip(*out, strict=True))
-        return as_table([(h, pack_ids(d), pack_ids(s), pack_ids(e)) for h, d, s, e in dealt(home_of(docs, homes), docs, starts, ends_)], SPANS)
-
-    spans = ("home", "doc", "start", "end")
-    found = scratch.write(repeats.candidates(look, FOUND))
-    decided = scratch.write(found.filter("kind = 0").select("at", "doc", "start", "end", "anchor", "content").groupBy("at").applyInArrow(decide, DECIDED))
-    near = scratch.write(found.filter("kind = 1").select(*spans).unionByName(decided.filter("kind = 1").select(*spans)))
-    scratch.drop(found)
-    sent = repeats.with_texts(decided.filter("kind = 2").select(*spans, "anchor"), fetch, SENT)
-    far = scratch.write(sent.groupBy("at").applyInArrow(index, SPANS))
-    return near.unionByName(far)
+    piece, text, place = (column(n, True) for n in TOLD[:3])
+    asked, start, end, least = (column(n, False) for n in ("pieces", *TOLD[3:]))
+    order = np.argsort(piece, kind="stable")
+    piece, text, place = piece[order], text[order], place[order]
+    lo, hi = np.searchsorted(piece, asked, "left"), np.searchsorted(piece, asked, "right")
+    which, at = np.repeat(np.arange(len(asked)), hi - lo), np.repeat(lo, hi - lo) + within(hi - lo)
+    late = ids[text[at]] > least[which]
+    which, at = which[late], at[late]
+    return text[at], place[at] + start[which], place[at] + end[which] + (WINDOW - 1)
 
 
 def cut(text: bytes, spans: np.ndarray) -> bytes:
@@ -222,12 +252,22 @@ RESULT = "doc bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha
 
 
 def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_bytes, n_removed, n_spans, kept_sha256; a row for each row."""
+    """key, n_bytes, n_removed, n_spans, kept_sha256; a row for each row.
+
+    The collection goes through the family in batches, which are ranges of the ids.
+    """
     scratch = Scratch(df.sparkSession)
     repeats = Repeats(df.select(quoted(key).alias("key"), quoted(text).alias("text")), byte_units, ANCHOR)
-    spans = repeated_spans(repeats, scratch)
+    found = scratch.write(suffixes(repeats))
+    family = SuffixLevels(scratch, repeats.spread)
+    told = found.filter("kind = 1").select("home", *TOLD[:3], *[F.lit(None).cast("binary").alias(n) for n in TOLD[3:]])
+    batches = len(repeats.cuts) + 1
+    for number in range(batches):
+        batch = found.filter((F.col("kind") == 0) & (F.col("batch") == number))
+        repeated = family.add(batch, last=number + 1 == batches)
+        told = told.unionByName(repeated.withColumns({n: F.lit(None).cast("binary") for n in TOLD[1:3]}))
 
     def report(doc: int | None, text: bytes, removed: np.ndarray) -> tuple:
         return doc, len(text), int((removed[:, 1] - removed[:, 0]).sum()), len(removed), hashlib.sha256(cut(text, removed)).hexdigest()
 
-    return repeats.finished(spans, report, RESULT).withColumnRenamed("doc", key)
+    return repeats.finished(told, removed_spans, report, RESULT).withColumnRenamed("doc", key)

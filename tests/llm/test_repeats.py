@@ -36,7 +36,7 @@ def brute(rows, split):
 def portion(request, monkeypatch):
     monkeypatch.setattr(repeats, "PORTION", request.param)
     monkeypatch.setattr(repeats, "GATHERED", request.param)
-    monkeypatch.setattr(suffix_levels, "BATCH", request.param)
+    monkeypatch.setattr(repeats, "HOME_BYTES", 20 * request.param)
     return request.param
 
 
@@ -69,38 +69,77 @@ def test_repeated_rows_null_ids_and_no_rows(spark, remove):
     assert remove(rows.limit(0)).count() == 0
 
 
-def test_passages_name_their_source(spark):
-    from driftmark.llm.common import Scratch
+@pytest.mark.parametrize("remove", [suffix_levels.remove_repeats, debruijn.remove_passages])
+def test_rows_that_share_an_id_keep_what_is_theirs(spark, remove):
+    rng = random.Random(9)
+    a, b, c = (" ".join(f"{x}{rng.randrange(10**6)}" for _ in range(80)) for x in "xyz")
+    rows = [(1, a), (5, a), (5, b), (5, a), (7, b + " " + c), (7, c), (8, c + " end")]
+    split = (lambda t: t.encode()) if remove is suffix_levels.remove_repeats else (lambda t: tuple(t.split()))
+    got = sorted((r[0], r[1], r.n_removed) for r in remove(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    assert got == sorted((i, len(units), sum(mask)) for i, units, mask in brute(rows, split))
+    assert (5, len(split(b)), 0) in got
+
+
+def test_nothing_is_removed_without_the_levels(spark, documents, monkeypatch):
+    monkeypatch.setattr(suffix_levels.SuffixLevels, "add", lambda self, batch, last=False: batch.limit(0).selectExpr("home", *(f"CAST(NULL AS binary) AS {n}" for n in ("pieces", "starts", "ends", "least"))))
+    assert suffix_levels.remove_repeats(documents).selectExpr("sum(n_removed)").first()[0] == 0
+
+
+def test_nothing_is_removed_without_compaction(spark, documents, monkeypatch):
+    whole = debruijn.compacted
+    monkeypatch.setattr(debruijn, "compacted", lambda walks, nodes: whole(walks, nodes).limit(0))
+    assert debruijn.remove_passages(documents).selectExpr("sum(n_removed)").first()[0] == 0
 
-    rng = random.Random(8)
-    words = [f"v{rng.randrange(10**6)}" for _ in range(400)]
-    docs = [(1, " ".join(words[:200])), (2, " ".join(["x", *words[50:180], "y"])), (3, " ".join([*words[200:], *words[60:150]]))]
-    frame = spark.createDataFrame(docs, "key bigint, text string")
-    found = repeats.Repeats(frame, repeats.word_units, debruijn.ANCHOR)
-    _, passages = debruijn.repeated_spans(found, Scratch(spark))
-    for r in passages.collect():
-        source, own = docs[r.source_doc - 1][1].split(), docs[r.doc - 1][1].split()
-        assert r.source_doc < r.doc and r.verified
-        assert own[r.start : r.end] == source[r.source_start : r.source_start + r.end - r.start]
 
+def test_a_span_needs_the_source_words(documents, monkeypatch):
+    read = debruijn.read_sources
+    monkeypatch.setattr(debruijn, "read_sources", lambda repeats, parts: read(repeats, parts).selectExpr("doc", "row", "from", "to", "unhex(sha2(digest, 256)) AS digest"))
+    assert debruijn.remove_passages(documents).selectExpr("sum(n_removed)").first()[0] == 0
+
+
+def test_paths_are_cut_where_they_branch(spark):
+    walks = spark.createDataFrame([(1, 0, 10, 60), (1, 0, 30, 90), (1, 0, 30, 90), (2, 3, 5, 6), (1, 0, 90, 700), (1, 0, 900, 901)], "doc bigint, row bigint, start bigint, end bigint")
+    nodes = spark.createDataFrame([(1, 0, 40), (1, 0, 10), (1, 0, 90), (1, 0, 600), (2, 0, 5), (1, 0, 40)], "doc bigint, row bigint, at bigint")
+    got = sorted(tuple(r)[:7] for r in debruijn.compacted(walks, nodes).select("doc", "row", "start", "end", "from", "to", "path").collect())
+    assert got == [
+        (1, 0, 10, 60, 10, 40, 10), (1, 0, 10, 60, 40, 60, 40), (1, 0, 30, 90, 30, 40, 10), (1, 0, 30, 90, 40, 90, 40),
+        (1, 0, 90, 700, 90, 600, 90), (1, 0, 90, 700, 600, 700, 600), (1, 0, 900, 901, 900, 901, 900), (2, 3, 5, 6, 5, 6, 5),
+    ]
+
+
+def test_levels_merge_and_find(spark, tmp_path):
+    """Batches of suffixes against a literal family, and the sizes of its levels."""
+    from driftmark.llm.common import Scratch
 
-def test_family_merges_and_finds():
     rng = random.Random(4)
-    family, seen = suffix_levels.SuffixFamily(), {}
-    doc = 0
-    for _ in range(40):
-        n = rng.randint(1, 30)
-        docs = []
-        for _ in range(n):
-            doc += rng.random() < 0.4
-            docs.append(doc)
-        keys = [rng.choice([b"aa", b"ab", b"b\0", b"b\1", b"\xff\0"]) + bytes([rng.randrange(12)]) + b"\1" for _ in range(n)]
-        got = family.add(np.array(keys, "S4"), np.array(docs))
-        for k, d in zip(keys, docs, strict=True):
-            seen[k] = min(seen.get(k, d), d)
-        assert got.tolist() == [seen[k] < d for k, d in zip(keys, docs, strict=True)]
-        sizes = [len(k) for k, _ in family.levels]
-        assert all(a > b for a, b in zip(sizes, sizes[1:], strict=False))
+    pool = [bytes(rng.choice(b"ab\0\xff") for _ in range(30)) for _ in range(4)]
+    anchor = b"anchor of 20 bytes.."
+    family = suffix_levels.SuffixLevels(Scratch(spark), lambda df, by: df)
+    seen, doc = {}, 0
+    for number in range(8):
+        rows, expected = [], {}
+        for piece in range(12):
+            doc += rng.randint(0, 2)
+            left, right = rng.choice(pool)[: rng.choice([0, 5, 30])], rng.choice(pool)
+            text = left + anchor + right
+            start, count = np.array([0]), np.array([len(text) - 49]) if len(text) >= 50 else np.array([1])
+            record = suffix_levels.records(np.frombuffer(text, np.uint8), start, count, np.array([len(left)]))[0].tobytes()
+            rows.append((piece % 2, 77 + piece % 2, record, doc, doc + 1, 3, piece))
+            for i in range(int(count[0])):
+                expected.setdefault((piece, i), (text[i : i + 50], piece % 2, doc))
+        for window, part, d in expected.values():
+            seen[part, window] = min(seen.get((part, window), d), d)
+        batch = spark.createDataFrame(rows, "part int, key bigint, record binary, doc bigint, last bigint, home int, piece int")
+        got = {}
+        for r in family.add(batch).collect():
+            for p, a, b, least in zip(*(repeats.unpack_ids([r[c]]).tolist() for c in ("pieces", "starts", "ends", "least")), strict=True):
+                got.update({(p, i): least for i in range(a, b)})
+        assert got == {k: seen[part, window] for k, (window, part, _) in expected.items()}
+        assert [n for n, _ in family.levels] == [1 << i for i in range(3, -1, -1) if (number + 1) >> i & 1]
+        for _, table in family.levels:
+            for part in (0, 1):
+                records = [bytes(r.record) for r in table.filter(f"part = {part}").collect()]
+                assert records == sorted(set(records)) and records
 
 
 def test_window_hashes_and_minima():
