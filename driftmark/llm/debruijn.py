@@ -5,7 +5,8 @@ tokens; an edge that a lesser document has too is repeated. Only k-mers around a
 two documents hold (see repeats) are looked at, in runs that share the anchor.
 
 1. Edges: in the part of an anchor, every k-mer of its runs gets its source coordinate, the
-   least document that has it and the place of its first occurrence there.
+   least document that has it and the place of its first occurrence there. Runs of an anchor
+   that has very many different ones are cut into single edges and dealt by these.
 2. Walks: each document goes along repeated edges; while its next edge is also the next one in
    the source, both are one walk, an interval of the source's edges. Where a document goes on
    to an edge that is not the next one of the source, the node between branches.
@@ -33,7 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftmark.llm.common import Scratch, quoted
-from driftmark.llm.repeats import WINDOW, Repeats, as_table, dealt, distinct, filled, flat, home_column, pack_ids, span_hashes, unpack_ids, within, word_units
+from driftmark.llm.repeats import WINDOW, Repeats, as_table, binary, crowded, dealt, distinct, filled, flat, home_column, pack_ids, single_windows, span_hashes, unfolded, unpack_ids, within, word_units
 from driftmark.llm.rolling import windows
 
 ANCHOR = 16
@@ -72,10 +73,36 @@ def runs(repeats: Repeats) -> DataFrame:
     return repeats.candidates(look, RUNS)
 
 
+def cut_up(repeats: Repeats, found: DataFrame) -> DataFrame:
+    """The runs of crowded anchors as single edges, which have negative numbers at their home;
+    kind 2, packed: which runs have them, and where."""
+    parts = repeats.parts
+
+    def divide(group: pa.Table) -> pa.Table:
+        data, sizes = flat(group.column("edges"))
+        edge = data.view(np.int64)
+        owner, offset = np.repeat(np.arange(len(sizes)), sizes // 8), within(sizes // 8)
+        doc, text, start, last, piece = (group.column(c).to_numpy().astype(np.int64) for c in ("doc", "text", "start", "last", "piece"))
+        # of one document's equal edges the first in it, as for whole runs
+        order = np.lexsort((start[owner] + offset, text[owner], doc[owner]))
+        owner, offset, edge = owner[order], offset[order], edge[order]
+        first, latest, number = single_windows(owner, edge.view(np.uint64), edge, doc, last)
+        m, home = len(first), group.column("home")[0].as_py()
+        own, name = owner[first], edge[first].view(np.uint64)
+        held = filled(
+            RUNS, m, kind=np.zeros(m, np.int32), home=np.full(m, home, np.int32), part=((name >> np.uint64(32)) % np.uint64(parts)).astype(np.int32), anchor=edge[first],
+            edges=binary(edge[first].view(np.uint8).reshape(-1, 8)), doc=doc[own], text=text[own], start=start[own] + offset[first], last=latest, piece=-np.arange(1, m + 1, dtype=np.int32),
+        )
+        where = filled(RUNS, 1, kind=[2], home=[home], pieces=[pack_ids(piece[owner])], texts=[pack_ids(number)], places=[pack_ids(offset)])
+        return pa.concat_tables([held, where])
+
+    return repeats.spread(found, "home").groupBy("home").applyInArrow(divide, RUNS)
+
+
 SEGMENTS = "home int, pieces binary, froms binary, tos binary, docs binary, rows binary, starts binary"
 
 
-def sources(found: DataFrame, repeats: Repeats) -> DataFrame:
+def sources(candidates: DataFrame, repeats: Repeats) -> DataFrame:
     """Stretches of the runs whose edges follow one another in a lesser document, packed by home:
     piece, first edge, last edge + 1; document, its text at its home, and the first edge there."""
 
@@ -101,7 +128,7 @@ def sources(found: DataFrame, repeats: Repeats) -> DataFrame:
         packed = [(h, *map(pack_ids, x)) for h, *x in dealt(home[own], piece[own], at, end, doc[owner[src]], text[owner[src]], place[src])]
         return as_table(packed, SEGMENTS)
 
-    rows = found.filter("kind = 0").select("part", "edges", "doc", "text", "start", "last", "home", "piece")
+    rows = candidates.select("part", "edges", "doc", "text", "start", "last", "home", "piece")
     return repeats.spread(rows, "part").groupBy("part").applyInArrow(name, SEGMENTS)
 
 
@@ -112,14 +139,16 @@ SOURCED = ("froms", "tos", "docs", "rows", "starts")
 def walks_of(told: pa.Table) -> tuple[np.ndarray, ...]:
     """(text, start, end, source document, source text, source start) of all stretches of a
     home, from its packed places and segments, whether or not the text's id is above the source's."""
-    places = [x is not None for x in told.column("texts").to_pylist()]
-    segments = [x is not None for x in told.column("froms").to_pylist()]
+    kinds = told.column("kind").to_pylist()
 
-    def column(name: str, of: list[bool]) -> np.ndarray:
-        return unpack_ids([x for x, wanted in zip(told.column(name).to_pylist(), of, strict=True) if wanted])
+    def column(name: str, kind: int) -> np.ndarray:
+        return unpack_ids([x for x, k in zip(told.column(name).to_pylist(), kinds, strict=True) if k == kind])
 
-    piece, text, place = (column(n, places) for n in ("pieces", *PLACED))
-    asked, first, last, doc, row, start = (column(n, segments) for n in ("pieces", *SOURCED))
+    piece, text, place = (column(n, 1) for n in ("pieces", *PLACED))
+    single = tuple(column(n, 2) for n in ("pieces", "places", "texts"))
+    asked, first, last, doc, row, start = (column(n, 3) for n in ("pieces", *SOURCED))
+    which, asked, first, last = unfolded(asked, first, last, single)
+    doc, row, start = doc[which], row[which], start[which]
     order = np.argsort(piece, kind="stable")
     piece, text, place = piece[order], text[order], place[order]
     lo, hi = np.searchsorted(piece, asked, "left"), np.searchsorted(piece, asked, "right")
@@ -225,12 +254,13 @@ def read_sources(repeats: Repeats, parts: DataFrame) -> DataFrame:
     return repeats.with_texts(asked, visit, DIGESTS)
 
 
+#: kind 1: places, 2: runs that were cut up, 3: segments, 4: ids, 5: parts of paths.
 EMPTY = {"ids": "binary", "pieces": "binary", **dict.fromkeys((*PLACED, *SOURCED), "binary"), **dict.fromkeys(("doc", "row", "start", "end", "from", "to"), "bigint"), "digest": "binary"}
 
 
-def _padded(df: DataFrame) -> DataFrame:
+def _padded(df: DataFrame, kind: int | None = None) -> DataFrame:
     """Under all the columns that a home's findings may have."""
-    return df.select("home", *[F.col(c) if c in df.columns else F.lit(None).cast(kind).alias(c) for c, kind in EMPTY.items()])
+    return df.select("home", F.col("kind") if kind is None else F.lit(kind).alias("kind"), *[F.col(c) if c in df.columns else F.lit(None).cast(kind).alias(c) for c, kind in EMPTY.items()])
 
 
 IDS = "home int, ids binary"
@@ -250,15 +280,19 @@ def repeated_paths(repeats: Repeats, scratch: Scratch) -> DataFrame:
     """All that is known at each home: where its runs are, their sources, and for its walks the
     parts of compacted paths with the digests of the source's words."""
     found = scratch.write(runs(repeats))
-    segments = scratch.write(sources(found, repeats))
-    places = found.filter("kind = 1").select("home", "pieces", *PLACED)
-    known = _padded(places).unionByName(_padded(segments))
-    walks = scratch.write(walked(known.unionByName(_padded(ids_of(repeats))), repeats))
+    candidates, places = found.filter("kind = 0"), found.filter("kind = 1")
+    if (anchors := crowded(found, "anchor")) is not None:
+        divided = scratch.write(cut_up(repeats, candidates.join(F.broadcast(anchors), "anchor", "left_semi")))
+        candidates = candidates.join(F.broadcast(anchors), "anchor", "left_anti").unionByName(divided.filter("kind = 0"))
+        places = places.unionByName(divided.filter("kind = 2"))
+    segments = scratch.write(sources(candidates, repeats))
+    known = _padded(places.select("home", "kind", "pieces", *PLACED)).unionByName(_padded(segments, 3))
+    walks = scratch.write(walked(known.unionByName(_padded(ids_of(repeats), 4)), repeats))
     steps, nodes = walks.filter("kind = 0"), walks.filter("kind = 1").select("doc", "row", F.col("start").alias("at"))
     parts = scratch.write(compacted(steps, nodes))
     digests = scratch.write(read_sources(repeats, parts))
     told = steps.select("home", "doc", "row", "start", "end").join(parts.drop("path"), ["doc", "row", "start", "end"]).join(digests, ["doc", "row", "from", "to"])
-    return known.unionByName(_padded(scratch.write(told)))
+    return known.unionByName(_padded(scratch.write(told), 5))
 
 
 def verified(ids: np.ndarray, texts: list[bytes], told: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

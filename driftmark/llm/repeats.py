@@ -213,6 +213,55 @@ def within(sizes: np.ndarray) -> np.ndarray:
     return np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
 
+#: Different surroundings of one anchor beyond which it is crowded, if they are one in
+#: MOST_CROWDED of all as well; so there are no more crowded anchors than that.
+CROWD = 20_000
+MOST_CROWDED = 100_000
+
+
+def crowded(found: DataFrame, anchor: str) -> DataFrame | None:
+    """The crowded anchors of (kind 0) candidates, few enough to broadcast; None if there are none.
+
+    What stands around a passage that very many documents share differs from one to the next,
+    so the anchors at its ends are crowded. Their candidates are cut into single windows, which
+    are dealt by their own content: no anchor's surroundings meet in one task.
+    """
+    counts = found.filter("kind = 0").groupBy(anchor).agg(F.count("*").alias("n")).filter(F.col("n") > CROWD)
+    if not counts.limit(1).count():
+        return None
+    total = found.filter("kind = 0").count()
+    return counts.filter(F.col("n") > total // MOST_CROWDED).select(anchor)
+
+
+def single_windows(owner: np.ndarray, name: np.ndarray, content: np.ndarray, doc: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Equal windows of one home once: the first of each in order of document, the last document
+    that has it, and the number of each given window's own, from 1.
+
+    owner: the candidate that each window is from, with doc and last; name: a hash of its content.
+    """
+    order = np.lexsort((doc[owner], name))
+    new = np.concatenate([[True], (name[order][1:] != name[order][:-1]) | (content[order][1:] != content[order][:-1]).reshape(len(order) - 1, -1).any(1)])
+    first = np.flatnonzero(new)
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(new)
+    return order[first], np.maximum.reduceat(last[owner][order], first), number
+
+
+def unfolded(asked: np.ndarray, first: np.ndarray, end: np.ndarray, cut: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(which answer, piece, first, end) where answers on single windows, whose pieces are negative,
+    are told for the pieces that they were cut from.
+
+    cut: piece, offset and the single window's number for all windows of pieces that were cut.
+    """
+    piece, offset, number = cut
+    order = np.argsort(number, kind="stable")
+    whole, single = np.flatnonzero(asked >= 0), np.flatnonzero(asked < 0)
+    lo, hi = (np.searchsorted(number[order], -asked[single], side) for side in ("left", "right"))
+    at = order[np.repeat(lo, hi - lo) + within(hi - lo)]
+    which = np.concatenate([whole, np.repeat(single, hi - lo)])
+    return which, np.concatenate([asked[whole], piece[at]]), np.concatenate([first[whole], offset[at]]), np.concatenate([end[whole], offset[at] + 1])
+
+
 KINDS = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string(), "binary": pa.binary()}
 
 

@@ -15,7 +15,9 @@ runs of windows, joined where they touch. Batches come in ascending order of the
 so a level only ever holds lesser ones.
 
 The family is distributed by anchors: equal windows have equal anchors, so they meet in one
-part, of which there are as many as the bytes ask for. Before a batch is sent, the equal
+part, of which there are as many as the bytes ask for; an anchor that has very many different
+surroundings is cut into single windows, which are sampled suffixes of their own and are dealt
+by their content. Before a batch is sent, the equal
 suffixes of a home are one row, compared byte by byte, with their places kept at the home.
 
 Defined cases: null text is empty and keeps nothing; texts of fewer than WINDOW bytes
@@ -36,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftmark.llm.common import Scratch, quoted
-from driftmark.llm.repeats import WINDOW, Repeats, as_table, binary, byte_units, dealt, filled, flat, pack_ids, span_hashes, unpack_ids, within
+from driftmark.llm.repeats import WINDOW, Repeats, as_table, binary, byte_units, crowded, dealt, filled, flat, pack_ids, single_windows, span_hashes, unfolded, unpack_ids, within
 
 ANCHOR = 20
 #: Bytes that the windows of one anchor reach before it.
@@ -216,18 +218,51 @@ def suffixes(repeats: Repeats) -> DataFrame:
     return repeats.candidates(look, FOUND)
 
 
-TOLD = ("pieces", "texts", "places", "starts", "ends", "least")
+def cut_up(repeats: Repeats, found: DataFrame) -> DataFrame:
+    """The suffixes of crowded anchors as single windows, which have negative numbers at their
+    home; kind 2, packed: which suffixes have them, and where."""
+    parts, cuts = repeats.parts, repeats.cuts
+
+    def divide(group: pa.Table) -> pa.Table:
+        rows = flat(group.column("record"))[0].reshape(-1, WIDTH)
+        doc, last, piece = (group.column(n).to_numpy().astype(np.int64) for n in ("doc", "last", "piece"))
+        n = counts_of(rows)
+        owner, offset = np.repeat(np.arange(len(n)), n), within(n)
+        text = windows_of(rows).view(np.uint8).reshape(-1, WINDOW + 1)[:, :WINDOW]
+        each = np.arange(len(text)) * WINDOW
+        name = span_hashes(text.reshape(-1), each, each + WINDOW)
+        first, latest, number = single_windows(owner, name, text, doc, last)
+        m, home = len(first), group.column("home")[0].as_py()
+        nothing = np.zeros(m, np.int64)
+        held = filled(
+            FOUND, m, kind=np.zeros(m, np.int32), home=np.full(m, home, np.int32), part=((name[first] >> np.uint64(32)) % np.uint64(parts)).astype(np.int32),
+            batch=np.searchsorted(cuts, doc[owner[first]], "right").astype(np.int32), key=name[first].view(np.int64), doc=doc[owner[first]], last=latest, piece=-np.arange(1, m + 1, dtype=np.int32),
+            record=binary(np.hstack([text[first], np.zeros((m, BEFORE), np.uint8), np.stack([nothing, nothing + WINDOW], 1).astype(np.uint8)])),
+        )
+        where = filled(FOUND, 1, kind=[2], home=[home], pieces=[pack_ids(piece[owner])], texts=[pack_ids(number)], places=[pack_ids(offset)])
+        return pa.concat_tables([held, where])
+
+    return repeats.spread(found, "home").groupBy("home").applyInArrow(divide, FOUND)
+
+
+TOLD = ("kind", "pieces", "texts", "places", "starts", "ends", "least")
 
 
 def removed_spans(ids: np.ndarray, _: list[bytes], told: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, start, end): places of pieces in texts whose id is above the least document of their windows."""
-    seen = [x is not None for x in told.column("texts").to_pylist()]
+    """(text, start, end): places of pieces in texts whose id is above the least document of their windows.
+
+    kind 1: places, 2: suffixes that were cut up, 3: what the levels told.
+    """
+    kinds = told.column("kind").to_pylist()
 
-    def column(name: str, places: bool) -> np.ndarray:
-        return unpack_ids([x for x, s in zip(told.column(name).to_pylist(), seen, strict=True) if s == places])
+    def column(name: str, kind: int) -> np.ndarray:
+        return unpack_ids([x for x, k in zip(told.column(name).to_pylist(), kinds, strict=True) if k == kind])
 
-    piece, text, place = (column(n, True) for n in TOLD[:3])
-    asked, start, end, least = (column(n, False) for n in ("pieces", *TOLD[3:]))
+    piece, text, place = (column(n, 1) for n in ("pieces", "texts", "places"))
+    single = tuple(column(n, 2) for n in ("pieces", "places", "texts"))
+    asked, start, end, least = (column(n, 3) for n in ("pieces", "starts", "ends", "least"))
+    which, asked, start, end = unfolded(asked, start, end, single)
+    least = least[which]
     order = np.argsort(piece, kind="stable")
     piece, text, place = piece[order], text[order], place[order]
     lo, hi = np.searchsorted(piece, asked, "left"), np.searchsorted(piece, asked, "right")
@@ -259,13 +294,17 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     scratch = Scratch(df.sparkSession)
     repeats = Repeats(df.select(quoted(key).alias("key"), quoted(text).alias("text")), byte_units, ANCHOR)
     found = scratch.write(suffixes(repeats))
+    candidates, told = found.filter("kind = 0"), found.filter("kind = 1")
+    if (anchors := crowded(found, "key")) is not None:
+        divided = scratch.write(cut_up(repeats, candidates.join(F.broadcast(anchors), "key", "left_semi")))
+        candidates = candidates.join(F.broadcast(anchors), "key", "left_anti").unionByName(divided.filter("kind = 0"))
+        told = told.unionByName(divided.filter("kind = 2"))
+    told = told.select("home", *[F.col(n) if n in found.columns else F.lit(None).cast("binary").alias(n) for n in TOLD])
     family = SuffixLevels(scratch, repeats.spread)
-    told = found.filter("kind = 1").select("home", *TOLD[:3], *[F.lit(None).cast("binary").alias(n) for n in TOLD[3:]])
     batches = len(repeats.cuts) + 1
     for number in range(batches):
-        batch = found.filter((F.col("kind") == 0) & (F.col("batch") == number))
-        repeated = family.add(batch, last=number + 1 == batches)
-        told = told.unionByName(repeated.withColumns({n: F.lit(None).cast("binary") for n in TOLD[1:3]}))
+        repeated = family.add(candidates.filter(F.col("batch") == number), last=number + 1 == batches)
+        told = told.unionByName(repeated.withColumns({"kind": F.lit(3), "texts": F.lit(None).cast("binary"), "places": F.lit(None).cast("binary")}))
 
     def report(doc: int | None, text: bytes, removed: np.ndarray) -> tuple:
         return doc, len(text), int((removed[:, 1] - removed[:, 0]).sum()), len(removed), hashlib.sha256(cut(text, removed)).hexdigest()

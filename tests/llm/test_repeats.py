@@ -37,6 +37,8 @@ def portion(request, monkeypatch):
     monkeypatch.setattr(repeats, "PORTION", request.param)
     monkeypatch.setattr(repeats, "GATHERED", request.param)
     monkeypatch.setattr(repeats, "HOME_BYTES", 20 * request.param)
+    if request.param == 700:  # every anchor with two surroundings is cut into single windows
+        monkeypatch.setattr(repeats, "CROWD", 1)
     return request.param
 
 
