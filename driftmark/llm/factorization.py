@@ -39,7 +39,7 @@ MIN_SIGMA = 3.0
 #: Pairs are looked for among terms of this share of the training texts, so many terms at a time.
 PAIR_SHARE = 0.01
 PAIR_SIGMA = 6.0
-PAIR_BLOCK = 512
+PAIR_BLOCK = 4
 EPOCHS = 16
 BATCH = 128
 RATE = 0.08
@@ -109,35 +109,39 @@ def interacting(found: Sequence[np.ndarray], labels: np.ndarray, often: np.ndarr
     contrast of the rates is zero where effects add up. A pair counts whose contrast exceeds
     PAIR_SIGMA standard errors and whose four groups have MIN_DOCS texts each.
     """
-    place = np.full(1 << HASH_BITS, -1, np.int32)
-    place[often] = np.arange(len(often))
-    held = np.zeros((len(found), len(often)), np.float32)
-    for i, f in enumerate(found):
-        at = place[f]
-        held[i, at[at >= 0]] = 1
-    n, positive = float(len(labels)), float(labels.sum())
-    texts, bad = held.sum(0), held[labels == 1].sum(0)
-    bad_rows = held[labels == 1]
+    bits = {v: _held([f for f, y in zip(found, labels, strict=True) if y == v], often) for v in (0, 1)}
+    texts = {v: np.bitwise_count(x).sum(1, dtype=np.int64) for v, x in bits.items()}
     out = np.zeros(len(often), bool)
     for start in range(0, len(often), PAIR_BLOCK):
-        block = slice(start, start + PAIR_BLOCK)
-        both, both_bad = held[:, block].T @ held, bad_rows[:, block].T @ bad_rows
-        cells = (  # texts and texts of label 1: both, the first alone, the second alone, neither
-            (both, both_bad),
-            (texts[block, None] - both, bad[block, None] - both_bad),
-            (texts[None] - both, bad[None] - both_bad),
-            (n - texts[block, None] - texts[None] + both, positive - bad[block, None] - bad[None] + both_bad),
-        )
+        block, rest = slice(start, start + PAIR_BLOCK), slice(start, None)  # each pair once
         contrast, variance, least = 0.0, 0.0, np.inf
-        for (total, hits), sign in zip(cells, (1, -1, -1, 1), strict=True):
-            rate = (hits + 0.5) / (total + 1)
-            contrast, variance, least = contrast + sign * rate, variance + rate * (1 - rate) / (total + 1), np.minimum(least, total)
+        one, other, total = {}, {}, {}
+        for v, x in bits.items():
+            one[v], other[v] = texts[v][block, None], texts[v][None, rest]
+            total[v] = np.bitwise_count(x[block, None] & x[None, rest]).sum(2, dtype=np.int64)
+        # texts and texts of label 1: with both, the first alone, the second alone, neither
+        for sign, cell in ((1, lambda v: total[v]), (-1, lambda v: one[v] - total[v]), (-1, lambda v: other[v] - total[v]), (1, lambda v: (labels == v).sum() - one[v] - other[v] + total[v])):
+            hits = cell(1)
+            size = hits + cell(0)
+            rate = (hits + 0.5) / (size + 1)
+            contrast, variance, least = contrast + sign * rate, variance + rate * (1 - rate) / (size + 1), np.minimum(least, size)
         strong = (least >= MIN_DOCS) & (np.abs(contrast) >= PAIR_SIGMA * np.sqrt(variance))
         out[block] |= strong.any(1)
-        out |= strong.any(0)
+        out[rest] |= strong.any(0)
     return often[out]
 
 
+def _held(found: Sequence[np.ndarray], terms: np.ndarray) -> np.ndarray:
+    """Which texts hold each term, a bit for a text."""
+    place = np.full(1 << HASH_BITS, -1, np.int32)
+    place[terms] = np.arange(len(terms))
+    out = np.zeros((len(terms), -(-len(found) // 64) * 8), np.uint8)
+    for i, f in enumerate(found):
+        at = place[f]
+        out[at[at >= 0], i >> 3] |= np.uint8(1 << (i & 7))
+    return out.view(np.uint64)
+
+
 def train(examples: Sequence[tuple[str, int]], seed: int = 7) -> Machine:
     labels = np.array([label for _, label in examples], float)
     if not len(labels) or labels.min() == labels.max():
