@@ -106,14 +106,16 @@ def categories(old: ColumnProfile, new: ColumnProfile, _: Sensitivity) -> Iterat
 
 
 def balance(old: ColumnProfile, new: ColumnProfile, how: Sensitivity) -> Iterator[Finding]:
-    if not old.counts or not new.counts or min(old.present, new.present) < how.balance_rows:
+    counted = [c.counts for c in (old, new) if c.counts and c.present >= how.balance_rows]
+    if len(counted) < 2:
         return
-    before, after = stats.comparable_counts(old.counts, new.counts)
-    index = stats.stability_index(before, after)
-    if index >= how.psi:
-        name, was, now = stats.largest_move(before, after)
-        text = f"Column '{new.name}' balance shifted (PSI {index:.3f}): '{name}' {was:.1%} -> {now:.1%}"
-        yield Finding("category_balance_shift", text, new.name, {"psi": index}, {"largest_move": name})
+    sides = stats.comparable_counts(*counted)
+    psi = stats.stability_index(*sides)
+    if psi < how.psi:
+        return
+    category, was, now = stats.largest_move(*sides)
+    text = f"Column '{new.name}' has other shares of its categories (PSI {psi:.3f}), '{category}' {now:.1%} after {was:.1%}"
+    yield Finding("category_balance_shift", text, new.name, metrics={"psi": psi}, details={"largest_move": category})
 
 
 def counts_up(column: ColumnProfile) -> bool:
@@ -124,10 +126,20 @@ def counts_up(column: ColumnProfile) -> bool:
     return gapless and column.null_ratio == 0 and column.uniqueness >= 1
 
 
-def _moment(seconds: float | None) -> str:
-    if seconds is None:
-        return "-"
-    return (datetime(1970, 1, 1, tzinfo=timezone.utc) + timedelta(seconds=seconds)).strftime("%Y-%m-%d %H:%M:%S").removesuffix(" 00:00:00")
+EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
+
+
+def span(column: ColumnProfile) -> str:
+    """From when to when a column of moments goes, days without their midnight."""
+    ends = (column.minimum, column.maximum)
+    return " to ".join("nothing" if s is None else f"{EPOCH + timedelta(seconds=s):%Y-%m-%d %H:%M:%S}".replace(" 00:00:00", "") for s in ends)
+
+
+def moved(old: ColumnProfile, new: ColumnProfile, distance: float) -> Finding:
+    """A column of moments whose values lie elsewhere in time; relative to 1970 its mean says nothing."""
+    away = round(abs(new.mean - old.mean), 3)
+    text = f"Column '{new.name}' covers {span(new)} after {span(old)} (KS {distance:.3f})"
+    return Finding("distribution_shift", text, new.name, {"mean_old": old.mean, "mean_new": new.mean, "mean_shift_seconds": away, "ks_statistic": distance})
 
 
 def _short(value: float | None) -> str:
@@ -141,11 +153,9 @@ def distribution(old: ColumnProfile, new: ColumnProfile, how: Sensitivity) -> It
     distance = stats.ks_distance(old.quantiles, new.quantiles) if grids else 0.0
     far = grids and distance >= max(how.ks, stats.ks_floor(old.present, new.present))
     metrics = {"mean_old": old.mean, "mean_new": new.mean}
-    if old.label == new.label == MOMENT:  # a mean's share of the time since 1970 says nothing
+    if old.label == new.label == MOMENT:
         if far:
-            spans = " -> ".join(f"{_moment(c.minimum)}..{_moment(c.maximum)}" for c in (old, new))
-            metrics |= {"mean_shift_seconds": round(abs(new.mean - old.mean), 3), "ks_statistic": distance}
-            yield Finding("distribution_shift", f"Column '{new.name}' moved in time (KS {distance:.3f}): {spans}", new.name, metrics)
+            yield moved(old, new, distance)
         return
     if not (old.numeric and new.numeric):
         return

@@ -32,9 +32,9 @@ def check_key(found: Prepared, key: Sequence[str], source: str) -> None:
     names = {f.name for f in found.fields}
     for k in key:
         if k not in names:
-            raise BadKey(f"{source} has no column {k!r} to key on")
+            raise BadKey(f"{source}: the key column {k!r} does not exist")
     if n := repeats(found, key):
-        raise BadKey(f"{source} does not have one row per {', '.join(key)}: {n} row(s) repeat a key already used")
+        raise BadKey(f"{source}: ({', '.join(key)}) is not unique, {n} more row(s) than keys")
 
 
 def differs(old: Column, new: Column, old_label: str, new_label: str) -> Column:
@@ -86,11 +86,11 @@ def compare_rows(old: Prepared, new: Prepared, key: Sequence[str], old_source: s
         moved = row["added"] + row["removed"]
         share = moved / row["rows"] * 100 if row["rows"] else moved  # a new version without rows: the bare count
         metrics = {"rows_added": float(row["added"]), "rows_removed": float(row["removed"]), "replaced_pct": round(float(share), 4)}
-        found.append(Finding("rows_replaced", f"{row['added']} row(s) added and {row['removed']} removed, matched on the key", metrics=metrics))
+        found.append(Finding("rows_replaced", f"By key, {row['added']} row(s) are new and {row['removed']} are gone", metrics=metrics))
     if row["modified"]:
         share = row["modified"] / row["kept"] * 100
         ranked = sorted(((name, n) for name, n in per_column if n), key=lambda c: -c[1])[:NAMED]
         named = ", ".join(f"{name} ({n})" for name, n in ranked)
-        text = f"{row['modified']} of {row['kept']} row(s) present in both changed value ({share:.1f}%): {named}"
+        text = f"By key, {share:.1f}% of the kept rows differ ({row['modified']} of {row['kept']}), in {named}"
         found.append(Finding("rows_modified", text, metrics={"rows_modified": float(row["modified"]), "modified_pct": round(share, 4)}, details={"columns": dict(ranked)}))
     return found

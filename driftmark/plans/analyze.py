@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from driftmark.errors import BadKey
 from driftmark.operators.compare import Comparison, Finding, Sensitivity, compare
 from driftmark.operators.prepare import prepare
-from driftmark.operators.profile import EXACT, Profile, profile_prepared
+from driftmark.operators.profile import EXACT, FOOTER, Profile, profile_prepared
 from driftmark.operators.rows import compare_rows
 from driftmark.plans.rules import Classified, RuleSet, strongest
 from driftmark.plans.versions import STRONGEST_FIRST, Severity, bump
@@ -68,6 +68,8 @@ def analyze(
     if not key:
         profiles = [load_profile(spark, side, mode) for side in (old, new)]
         return report_on(*profiles, rules, version, how)
+    if mode == FOOTER:
+        raise BadKey("footer mode reads no rows, which matching on a key needs")
     for side in (old, new):
         if isinstance(side, str) and is_profile(side):
             raise BadKey(f"{side} is a stored profile; matching rows on a key needs rows on both sides")

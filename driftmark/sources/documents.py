@@ -26,13 +26,24 @@ def spans_lines(lines: list[str]) -> bool:
     return False
 
 
+def other_records(spark: SparkSession, path: str, whole: bool) -> bool:
+    """Whether some record, on whatever line or at whatever place of the array, is not an object."""
+    if whole:
+        text = F.trim(F.regexp_replace("value", "^\ufeff", ""))
+        elements = F.from_json(text, "array<string>")
+        odd = F.when(text.startswith("["), F.exists(elements, lambda x: x.isNull() | ~F.ltrim(x).startswith("{"))).otherwise(~F.ltrim(text).startswith("{"))
+        return spark.read.text(path, wholetext=True).filter(odd).limit(1).count() > 0
+    record = F.trim(F.translate("value", "\ufeff\t\r", "   "))
+    return spark.read.text(path).filter((record != "") & ~record.startswith("{")).limit(1).count() > 0
+
+
 def read_json(spark: SparkSession, path: str) -> DataFrame:
     """Records as columns, objects as structs; a file without records has no columns."""
     lines = [r["value"] for r in spark.read.text(path).filter(F.length(F.trim("value")) > 0).limit(SAMPLED_LINES).collect()]
     if not lines or (len(lines) == 1 and lines[0].strip() in ("[]", "{}")):
         return spark.createDataFrame([], T.StructType([]))
     whole = spans_lines(lines)
-    if not whole and not isinstance(json.loads(lines[0]), dict):
+    if other_records(spark, path, whole):
         raise UnreadableSource(f"{path} holds records that are not objects")
     try:
         df = spark.read.json(path, multiLine=whole, mode="FAILFAST")

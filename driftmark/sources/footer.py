@@ -7,6 +7,8 @@ are refused as a whole, since a partial answer would look like an exact one.
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,19 +38,20 @@ def pushed(spark: SparkSession, path: str) -> tuple[DataFrame, T.StructType]:
 def footer_profile(spark: SparkSession, path: str, source: str | None = None) -> Profile:
     """Types, missing values and numeric bounds. The cardinality is the number of present
     values, which never looks like a change of uniqueness."""
-    before = {k: spark.conf.get(k) for k in _PUSHED}
+    own = spark.newSession()  # the caller's settings stay as they are
+    for k, v in _PUSHED.items():
+        own.conf.set(k, v)
+    df, schema = pushed(own, path)
     try:
-        for k, v in _PUSHED.items():
-            spark.conf.set(k, v)
-        df, schema = pushed(spark, path)
         row = df.first().asDict()
-    finally:
-        for k, v in before.items():
-            spark.conf.set(k, v)
+    except (PySparkException, Py4JJavaError) as error:  # Spark gives up where a column chunk has none
+        raise FooterUnavailable(f"{path}: the footer has no statistics to answer from") from error
     rows = row["rows"]
     columns = {}
     for i, f in enumerate(schema.fields):
         n = row.get(f"n{i}", 0)
         bounds = {k: float(row[at]) if row.get(at) is not None else None for k, at in (("minimum", f"lo{i}"), ("maximum", f"hi{i}"))}
+        if n and f"lo{i}" in row and row[f"lo{i}"] is None:
+            raise FooterUnavailable(f"{path}: the footer has no bounds of column {f.name!r}")
         columns[f.name] = ColumnProfile(f.name, label_of(f.dataType), rows, round(1 - n / rows, 6) if rows else 0.0, n, **bounds)
     return Profile(source or path, rows, columns, FOOTER)

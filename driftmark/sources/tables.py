@@ -11,18 +11,12 @@ from driftmark.sources.names import DATABASES, redacted, split_sheet, split_tabl
 
 
 def read_arrow(spark: SparkSession, path: str) -> DataFrame:
-    """Arrow IPC files (feather), each decoded by the executor that gets its bytes.
-
-    One file at least is needed on the driver side for its schema, of which only the head is read.
-    """
+    """Arrow IPC files (feather), each decoded by the executor that gets its bytes, of which
+    there may be 2 GB in a file. Only the schema of the first one comes to the driver."""
     import pyarrow as pa
-    from pyspark.sql import functions as F
     from pyspark.sql.pandas.types import from_arrow_schema
 
-    files = spark.read.format("binaryFile").load(path)
-    head = files.select(F.col("content")).limit(1).collect()
-    if not head:
-        raise UnreadableSource(f"{path} holds no Arrow file")
+    files = spark.read.format("binaryFile").load(path).select("content")
 
     def opened(content: bytes):  # noqa: ANN202
         try:
@@ -30,17 +24,28 @@ def read_arrow(spark: SparkSession, path: str) -> DataFrame:
         except pa.ArrowInvalid:
             return pa.ipc.open_stream(pa.BufferReader(content))
 
-    try:
-        schema = from_arrow_schema(opened(head[0]["content"]).schema, prefer_timestamp_ntz=True)
-    except Exception as error:
-        raise UnreadableSource(f"{path} is not a readable Arrow file: {error}") from error
+    def heads(batches):  # noqa: ANN001, ANN202
+        for batch in batches:
+            for content in batch.column(0):
+                try:
+                    row = [opened(content.as_py()).schema.serialize().to_pybytes()], [None]
+                except Exception as error:  # noqa: BLE001  told by the driver
+                    row = [None], [str(error)]
+                yield pa.RecordBatch.from_arrays([pa.array(row[0], pa.binary()), pa.array(row[1], pa.string())], names=["schema", "error"])
+
+    head = files.limit(1).mapInArrow(heads, "schema binary, error string").first()
+    if head is None:
+        raise UnreadableSource(f"{path} holds no Arrow file")
+    if head["schema"] is None:
+        raise UnreadableSource(f"{path} is not a readable Arrow file: {head['error']}")
+    schema = from_arrow_schema(pa.ipc.read_schema(pa.py_buffer(bytes(head["schema"]))), prefer_timestamp_ntz=True)
 
     def decode(batches):  # noqa: ANN001, ANN202
         for batch in batches:
             for content in batch.column(0):
                 yield from opened(content.as_py()).read_all().to_batches(max_chunksize=10_000)
 
-    return files.select("content").mapInArrow(decode, schema)
+    return files.mapInArrow(decode, schema)
 
 
 def read_workbook(spark: SparkSession, source: str) -> DataFrame:
@@ -81,20 +86,43 @@ def read_table(spark: SparkSession, source: str, partitions: int | None = None,
         raise UnreadableSource(f"{redacted(source)} cannot be read: {reason}") from error
 
 
+#: Row numbers of a SQLite table that one task reads.
+SQLITE_ROWS = 500_000
+
+
 def _sqlite(spark: SparkSession, path: str, table: str, source: str) -> DataFrame:
+    """A table's columns as text, read by the executors in ranges of its row numbers; what has
+    none (a view) is read by one. The file has to be where the executors can open it."""
     import sqlite3
     from pathlib import Path
 
+    import pyarrow as pa
     from pyspark.sql import types as T
 
     if not Path(path).is_file():
         raise FileNotFoundError(f"{source}: no such database file")
     name = '"' + table.replace('"', '""') + '"'
-    with sqlite3.connect(f"{Path(path).absolute().as_uri()}?mode=ro", uri=True) as connection:
+    at = f"{Path(path).absolute().as_uri()}?mode=ro"
+    with sqlite3.connect(at, uri=True) as connection:
         try:
-            cursor = connection.execute(f"SELECT * FROM {name}")  # noqa: S608  a quoted identifier
+            names = [d[0] for d in connection.execute(f"SELECT * FROM {name} LIMIT 0").description]  # noqa: S608  a quoted identifier
         except sqlite3.Error as error:
             raise UnreadableSource(f"{source} cannot be read: {error}") from error
-        names = [d[0] for d in cursor.description]
-        rows = [tuple(None if v is None else str(v) for v in r) for r in cursor]
-    return spark.createDataFrame(rows, T.StructType([T.StructField(n, T.StringType()) for n in names]))
+        try:
+            low, high = connection.execute(f"SELECT min(rowid), max(rowid) FROM {name}").fetchone()  # noqa: S608
+        except sqlite3.Error:
+            low = high = None
+    ranges = [(None, None)] if low is None else [(i, min(high, i + SQLITE_ROWS - 1)) for i in range(low, high + 1, SQLITE_ROWS)]
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+
+    def read(batches):  # noqa: ANN001, ANN202
+        for batch in batches:
+            for first, last in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
+                limits, where = ((), "") if first is None else ((first, last), " WHERE rowid BETWEEN ? AND ?")
+                with sqlite3.connect(at, uri=True) as connection:
+                    cursor = connection.execute(f"SELECT * FROM {name}{where}", limits)  # noqa: S608
+                    while rows := cursor.fetchmany(10_000):
+                        columns = [pa.array([None if v is None else str(v) for v in c], pa.string()) for c in zip(*rows, strict=True)]
+                        yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return spark.createDataFrame(ranges, "first bigint, last bigint").repartition(len(ranges)).mapInArrow(read, schema)

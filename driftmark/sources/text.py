@@ -69,21 +69,31 @@ def unique_names(names: Sequence[str | None]) -> list[str]:
     return out
 
 
+def delimiter_of(path: str, lines: Sequence[str]) -> str:
+    """What the environment names; a tab where the name says so; else what the first lines tell."""
+    named = named_delimiter()
+    if named is None:
+        named = "\t" if path.lower().removesuffix(".gz").endswith(".tsv") else find_delimiter(lines)
+    return named
+
+
 def read_text(spark: SparkSession, path: str) -> DataFrame:
     """All columns as text; missing values are NULL. Quoted line breaks make a file unsplittable,
     so they are only read as such where some line has an odd number of quotes: the first line of
-    a record that goes on has."""
+    a record that goes on has. Short records end in missing values, and records with more
+    values than the header are refused."""
     lines = first_lines(spark, path)
     if not lines:
         raise UnreadableSource(f"{path} is empty")
-    lower = path.lower().removesuffix(".gz")
-    delimiter = named_delimiter() or find_delimiter(lines, "\t" if lower.endswith(".tsv") else ",")
-    header = unique_names(next(csv.reader([lines[0].lstrip("﻿")], delimiter=delimiter)))
+    delimiter = delimiter_of(path, lines)
+    header = unique_names(next(csv.reader([lines[0].lstrip("\ufeff")], delimiter=delimiter)))
     quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
     multi = spark.read.text(path).filter(quotes % 2 == 1).limit(1).count() > 0
     raw = spark.read.csv(
         path, sep=delimiter, header=True, inferSchema=False, quote='"', escape='"', multiLine=multi, enforceSchema=True,
-        schema=", ".join(f"c{i} string" for i in range(len(header))), mode="PERMISSIVE",
+        schema=", ".join(f"c{i} string" for i in range(len(header) + 1)), mode="PERMISSIVE",
     )
+    if long := raw.filter(F.col(f"c{len(header)}").isNotNull()).select("c0").head():
+        raise UnreadableSource(f"{path}: the record that begins with {long[0]!r} has more than the header's {len(header)} value(s)")
     present = [F.when(~F.col(f"c{i}").isin(*MISSING), F.col(f"c{i}")).alias(f"c{i}") for i in range(len(header))]
     return raw.select(*present).toDF(*header)

@@ -16,7 +16,7 @@ def test_flagship(spark):
     assert {"rows_modified", "column_renamed", "row_count_decreased"} <= {r.kind for r in rows}
 
 
-@pytest.mark.parametrize("name", sorted(set(catalogue.oracle_sql()) - {"infer_datetime"}))
+@pytest.mark.parametrize("name", sorted(catalogue.oracle_sql()))
 def test_query_against_its_sql(spark, name):
     connection = duckdb.connect()
     for table in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "embeddings", "conversations"):

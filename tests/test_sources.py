@@ -76,6 +76,53 @@ def test_json_lines_are_all_read_and_structs_flattened(spark, tmp_path):
     assert load_profile(spark, f"{tmp_path}/none.json").rows == 0
 
 
+def test_tabs_and_records_of_other_lengths(spark, tmp_path):
+    (tmp_path / "t.tsv").write_text("n,a,m\tnote\n1,2,3\tx\n")
+    found = load_frame(spark, f"{tmp_path}/t.tsv")
+    assert found.columns == ["n,a,m", "note"] and tuple(found.first()) == ("1,2,3", "x")
+    (tmp_path / "short.csv").write_text("a,b\n1\n2,x\n")
+    assert sorted(map(tuple, load_frame(spark, f"{tmp_path}/short.csv").collect())) == [("1", None), ("2", "x")]
+    (tmp_path / "long.csv").write_text("a,b\n" + "1,2\n" * 50 + "3,4,5\n")
+    with pytest.raises(DatasetError, match="'3'"):
+        load_frame(spark, f"{tmp_path}/long.csv")
+
+
+@pytest.mark.parametrize("text", ['{"a": 1}\n' * 30 + "[2]\n", '{"a": 1}\n5\n', '[{"a": 1}, 3]', '[{"a": 1}, null]', '["x"]'])
+def test_json_records_that_are_not_objects(spark, tmp_path, text):
+    (tmp_path / "r.json").write_text(text)
+    with pytest.raises(DatasetError, match="not objects"):
+        load_frame(spark, f"{tmp_path}/r.json")
+
+
+def test_footers_without_statistics(spark, tmp_path):
+    pyarrow.parquet.write_table(pa.table(TABLE), tmp_path / "n.parquet", write_statistics=False)
+    before = spark.conf.get("spark.sql.parquet.aggregatePushdown")
+    with pytest.raises(FooterUnavailable):
+        load_profile(spark, f"{tmp_path}/n.parquet", FOOTER)
+    assert spark.conf.get("spark.sql.parquet.aggregatePushdown") == before
+
+
+def test_a_key_needs_rows(spark, files):
+    with pytest.raises(BadKey, match="footer"):
+        analyze(spark, f"{files}/a.parquet", f"{files}/a.parquet", key=["id"], mode=FOOTER)
+
+
+def test_database_in_ranges(spark, tmp_path, monkeypatch):
+    from driftmark.sources import tables
+
+    monkeypatch.setattr(tables, "SQLITE_ROWS", 7)
+    with sqlite3.connect(tmp_path / "a.db") as db:
+        db.execute("CREATE TABLE t (id INTEGER, name TEXT)")
+        db.executemany("INSERT INTO t VALUES (?, ?)", [(i, f"n{i}") for i in range(40)])
+        db.execute("DELETE FROM t WHERE id BETWEEN 10 AND 20")
+        db.execute("CREATE VIEW v AS SELECT name FROM t")
+        db.execute("CREATE TABLE e (id INTEGER)")
+    found = load_frame(spark, f"sqlite:///{tmp_path}/a.db#t")
+    assert found.rdd.getNumPartitions() > 3 and sorted(int(r.id) for r in found.collect()) == [*range(10), *range(21, 40)]
+    assert load_frame(spark, f"sqlite:///{tmp_path}/a.db#v").count() == 29
+    assert load_frame(spark, f"sqlite:///{tmp_path}/a.db#e").count() == 0
+
+
 def test_what_cannot_be_read(spark, tmp_path):
     (tmp_path / "l.jsonl").write_text("[1, 2]\n[3]\n")
     (tmp_path / "x.feather").write_text("no arrow")
