@@ -17,8 +17,8 @@ Decoding feeds token bytes to a UTF-8 state machine that holds an incomplete cha
 from one call to the next.
 
 Defined cases: null text is empty and has no tokens; rows are answered one by one, so
-ties and repeated rows each give a row; an empty table gives no rows; other columns are
-not read. A text of any length takes memory in proportion to itself.
+ties and repeated rows each give a row; an empty table gives no rows; other columns may have
+any name and are not read. A text of any length takes memory in proportion to itself.
 """
 
 from __future__ import annotations

@@ -11,7 +11,9 @@ unescaped ``<`` can only start a control string and every text reads back unchan
 Defined cases: null text, role or part list: empty; unknown or null part kinds with text
 are text, others become ``<unknown:..>`` placeholders of no tokens; turns sort by turn
 (null first), then role, then parts, so ties and repeated rows keep a fixed order and are
-all kept; a null conversation id is a conversation of its own; an empty table gives no rows.
+all kept; a null conversation id is a conversation of its own; a conversation of any length is
+one row, of at most 2 GB as any text is; an empty table gives no rows; other columns may have any
+name and are not read.
 """
 
 from __future__ import annotations

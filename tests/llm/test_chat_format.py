@@ -54,3 +54,10 @@ def test_no_rows_and_clashing_columns(spark):
     one = spark.createDataFrame([(1, 1, "user", "x", "c", 9, "s")], "conv_id bigint, turn bigint, role string, text string, conv string, at int, segment string")
     assert format_chats(one).first().formatted == "<turn:user>\nx</turn>\n"
     assert hashlib.sha256(b"").hexdigest() == one.select(F.sha2(F.lit(""), 256)).first()[0]
+
+
+def test_very_long_texts(spark):
+    text = "a < b \\ c > d " * 200_000
+    out = format_chats(spark.createDataFrame([(1, 0, "user", "x"), (1, 1, "assistant", text)], "conv_id bigint, turn bigint, role string, text string"))
+    r = out.select(read_back(F.col("formatted")).alias("turns"), masked_text(F.col("formatted"), F.col("loss_spans")).alias("loss")).first()
+    assert r.turns[1].text == text and r.loss == text
