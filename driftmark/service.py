@@ -14,14 +14,19 @@ from __future__ import annotations
 
 import base64
 import binascii
+import gzip
+import io
 import json
 import tempfile
+import zlib
 from dataclasses import dataclass
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from pathlib import Path
 from typing import Any
 from urllib.parse import parse_qs, unquote, urlsplit
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import SparkSession
 
 from driftmark import __version__, batch
@@ -44,6 +49,8 @@ HEADERS = {
 class Settings:
     datasets: Path | None = None
     upload_bytes: int = 32 << 20
+    #: Bytes that an uploaded file may take once it is decompressed.
+    expanded_bytes: int = 512 << 20
     columns: int = 2000
     hosts: tuple[str, ...] = ("localhost", "127.0.0.1")
 
@@ -54,6 +61,30 @@ class Refused(Exception):
         self.status = status
 
 
+def fits(name: str, data: bytes, limit: int) -> bool:
+    """Whether a file stays within a limit when it is decompressed. Gzip is unpacked as far as the
+    limit only; Parquet tells in its footer; others are about as large as they come."""
+    lower = name.lower()
+    if lower.endswith(".gz"):
+        size = 0
+        try:
+            with gzip.open(io.BytesIO(data)) as unpacked:
+                while part := unpacked.read(min(1 << 20, limit + 1)):
+                    size += len(part)
+                    if size > limit:
+                        return False
+        except (OSError, EOFError, zlib.error) as error:
+            raise Refused(422, f"{name!r} is not a gzip file") from error
+        return True
+    if names.suffix_of(name) in names.PARQUET_FORMATS:
+        try:
+            footer = pq.read_metadata(io.BytesIO(data))
+        except pa.ArrowException as error:
+            raise Refused(422, f"{name!r} is not a Parquet file") from error
+        return sum(footer.row_group(i).total_byte_size for i in range(footer.num_row_groups)) <= limit
+    return len(data) <= limit
+
+
 class Service:
     """The calls behind the routes, apart from HTTP."""
 
@@ -96,6 +127,8 @@ class Service:
             data = base64.b64decode(side["base64"], validate=True) if "base64" in side else str(side.get("content", "")).encode()
         except (binascii.Error, TypeError) as error:
             raise Refused(400, "base64 content is broken") from error
+        if not fits(name, data, self.settings.expanded_bytes):
+            raise Refused(413, f"{name!r} expands to more than {self.settings.expanded_bytes} bytes")
         folder.mkdir()
         (folder / name).write_bytes(data)
         return str(folder / name)

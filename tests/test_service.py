@@ -45,6 +45,28 @@ def test_refusals(spark, method, path, body, status):
     assert error.value.status == status
 
 
+def test_what_expands_beyond_the_limit_is_refused(spark):
+    import gzip
+    import io
+
+    import pyarrow as pa
+    import pyarrow.parquet
+
+    packed = gzip.compress(b"id,v\n" + b"1,aaaa\n" * 5000)
+    table = io.BytesIO()
+    pa.parquet.write_table(pa.table({"id": list(range(5000))}), table, compression="zstd")
+    uploads = [("a.csv.gz", packed), ("a.parquet", table.getvalue())]
+    for name, data in uploads:
+        body = {"name": name, "base64": base64.b64encode(data).decode()}
+        with pytest.raises(Refused) as error:
+            Service(spark, Settings(expanded_bytes=len(data) + 100)).answer("POST", "/api/profile", body)
+        assert error.value.status == 413
+        assert Service(spark, Settings(expanded_bytes=1 << 20)).answer("POST", "/api/profile", body)["rows"] == 5000
+        with pytest.raises(Refused) as error:
+            Service(spark).answer("POST", "/api/profile", {"name": name, "base64": base64.b64encode(data[:40]).decode()})
+        assert error.value.status == 422
+
+
 def test_over_http(spark):
     server = serve(spark, 0, Settings(upload_bytes=500))
     threading.Thread(target=server.serve_forever, daemon=True).start()
