@@ -3,15 +3,13 @@
 Physical plan of an exact profile:
 
 1. one aggregation over the data gives counts, means, deviations and bounds;
-2. a number or moment column of very many distinct values is dealt out in ranges and sorted
-   there, which gives its distinct count and its quantiles in one shuffle;
-3. of the others, distinct counts come from one branch for each column, each of which reads
-   only its own column, aggregates before it shuffles and spills if it must, and quantiles
-   come from the value counts;
-4. categories come from the value counts as a top-k, so no column's values meet in a task.
-
-A sketched profile replaces 3 by one pass of percentile_approx. Only results of the size
-of the metadata reach the driver.
+2. distinct counts and quantiles of numbers and moments come from one shuffle of packed,
+   sorted runs of values (see ranges);
+3. distinct counts and categories of texts come from the same value counts, the latter as a
+   top-k, so no column's values meet in a task.
+
+A sketched profile takes the quantiles from one pass of percentile_approx. Only results of
+the size of the metadata reach the driver.
 """
 
 from __future__ import annotations
@@ -25,12 +23,11 @@ from pyspark.sql import functions as F
 
 from driftmark.functions.stats import LEVELS, OTHER, TRACKED
 from driftmark.operators.prepare import COLUMNS_PER_JOB, Field, Prepared, category_text, epoch_seconds, prepare
+from driftmark.operators.ranges import summaries
 from driftmark.types import BOOL, FLOAT, INT, MOMENT, TEXT, is_numeric
 
 #: The share of distinct among present values above which a column identifies rows.
 IDENTIFIER_SHARE = 0.5
-#: Distinct values up to which a column's value counts go through one task.
-FEW_VALUES = 500_000
 SKETCH_ACCURACY = 10_000
 EXACT, SKETCH, FOOTER = "exact", "sketch", "footer"
 
@@ -122,90 +119,11 @@ def value_counts(found: Prepared, f: Field, value: Column | None = None) -> Data
     return found.frame.filter(F.col(f.at).isNotNull()).groupBy(value.alias("value")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def exact_quantiles(found: Prepared, cardinality: Mapping[str, int], present: Mapping[str, int]) -> dict[str, tuple[float, ...]]:
-    """The quantile grid of every number and moment column, linearly interpolated."""
-    few = [f for f in _numbers(found) if present[f.at] and cardinality[f.at] <= FEW_VALUES]
-    out: dict[str, tuple[float, ...]] = {}
-    for batch in _batches(few):
-        if batch:
-            levels = F.array(*map(F.lit, LEVELS))
-            parts = [value_counts(found, f, as_double(f)).agg(F.percentile("value", levels, F.col("n")).alias("q")).select(F.lit(f.at).alias("at"), "q") for f in batch]
-            out |= {r["at"]: tuple(r["q"]) for r in _union(parts).collect()}
-    for f in _numbers(found):
-        if present[f.at] and cardinality[f.at] > FEW_VALUES:
-            out[f.at] = sorted_field(found, f, present[f.at])[0]
-    return out
-
-
-def sorted_summary(values: DataFrame, n: int, levels: Sequence[float] = LEVELS) -> tuple[tuple[float, ...], int]:
-    """Exact quantiles and distinct count of a column of any size, in one shuffle.
-
-    The column, value, is dealt out in ranges, so equal values meet. The sizes of the ranges
-    tell which one holds which rank; each range is sorted where it is, and only its number of
-    distinct values and the values at the ranks asked for leave it.
-    """
-    parts = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = values.repartitionByRange(parts, "value").withColumn("part", F.spark_partition_id()).persist()
-    try:
-        sizes = {r["part"]: r["n"] for r in ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
-        before, total = {}, 0
-        for part in sorted(sizes):
-            before[part] = total
-            total += sizes[part]
-        ranks = sorted({rank for level in levels for at in [level * (n - 1)] for rank in (int(at), min(int(at) + 1, n - 1))})
-        asked = {p: [rank for rank in ranks if before[p] <= rank < before[p] + sizes[p]] for p in sizes}
-
-        def pick(batches):  # noqa: ANN001, ANN202  Arrow batches of one range
-            import numpy as np
-            import pyarrow as pa
-
-            held, part = [], None
-            for batch in batches:
-                if batch.num_rows:
-                    held.append(batch.column(0).to_numpy(zero_copy_only=False))
-                    part = batch.column(1)[0].as_py()
-            if held:
-                ordered = np.sort(np.concatenate(held))
-                distinct = 1 + int((ordered[1:] != ordered[:-1]).sum())
-                found = [float(ordered[rank - before[part]]) for rank in asked[part]]
-                columns = [pa.array([-1, *asked[part]], pa.int64()), pa.array([distinct, *[0] * len(found)], pa.int64()), pa.array([0.0, *found], pa.float64())]
-                yield pa.RecordBatch.from_arrays(columns, names=["rank", "distinct", "value"])
-
-        rows = ranged.mapInArrow(pick, "rank bigint, distinct bigint, value double").collect()
-    finally:
-        ranged.unpersist()
-    at_rank = {r["rank"]: r["value"] for r in rows if r["rank"] >= 0}
-    out = []
-    for level in levels:
-        at = level * (n - 1)
-        low, high = at_rank[int(at)], at_rank[min(int(at) + 1, n - 1)]
-        out.append(low + (high - low) * (at - int(at)))
-    return tuple(out), sum(r["distinct"] for r in rows)
-
-
-def sorted_quantiles(values: DataFrame, n: int, levels: Sequence[float] = LEVELS) -> tuple[float, ...]:
-    return sorted_summary(values, n, levels)[0]
-
-
-def likely_many(found: Prepared, rows: int) -> set[str]:
-    """Numbers and moments that seem to have more than FEW_VALUES distinct values.
-
-    An estimate, which only chooses between two exact ways.
-    """
-    fields = _numbers(found) if rows > FEW_VALUES else []
-    out: set[str] = set()
-    for batch in _batches(fields):
-        if batch:
-            row = found.frame.agg(*[F.approx_count_distinct(f.at).alias(f.at) for f in batch]).first()
-            out |= {f.at for f in batch if row[f.at] > FEW_VALUES}
-    return out
-
-
-def sorted_field(found: Prepared, f: Field, present: int) -> tuple[tuple[float, ...], int]:
-    """Quantiles and distinct count of one column, sorted in its own type."""
-    value = F.unix_micros(F.col(f.at)) if f.label == MOMENT else F.col(f.at)
-    grid, distinct = sorted_summary(found.frame.select(value.alias("value")).filter("value IS NOT NULL"), present)
-    return (tuple(q / 1e6 for q in grid) if f.label == MOMENT else grid), distinct
+def exact_numbers(found: Prepared, fields: Sequence[Field], rows: int) -> dict[str, tuple[tuple[float, ...], int]]:
+    """The quantile grid, linearly interpolated, and the distinct count of number and moment columns."""
+    values = found.frame.select(*[(F.unix_micros(F.col(f.at)) if f.label == MOMENT else F.col(f.at)).alias(f.at) for f in fields])
+    moments_ = {f.at for f in fields if f.label == MOMENT}
+    return {at: (tuple(q / 1e6 for q in grid) if at in moments_ else grid, n) for at, (grid, n) in summaries(values, rows, LEVELS).items()}
 
 
 def sketched_quantiles(found: Prepared, bounds: Mapping[str, dict]) -> dict[str, tuple[float, ...]]:
@@ -220,19 +138,27 @@ def sketched_quantiles(found: Prepared, bounds: Mapping[str, dict]) -> dict[str,
     return out
 
 
-def top_values(found: Prepared, limits: Mapping[str, int]) -> dict[str, list[tuple[str, int]]]:
-    """By position: the most frequent values as text, of equal counts the lesser value first."""
+def counted_values(found: Prepared, limits: Mapping[str, int]) -> tuple[dict[str, list[tuple[str, int]]], dict[str, int]]:
+    """By position: the most frequent values as text, of equal counts the lesser value first, and
+    the number of distinct ones. Both read the same value counts, whose exchange is reused."""
     out: dict[str, list[tuple[str, int]]] = {at: [] for at in limits}
-    fields = [f for f in found.fields if f.at in limits]
-    for batch in _batches(fields):
-        if batch:
-            parts = [
-                value_counts(found, f, category_text(F.col(f.at), f.label)).orderBy(F.desc("n"), "value").limit(limits[f.at]).select(F.lit(f.at).alias("at"), "value", "n")
-                for f in batch
-            ]
-            for r in _union(parts).collect():
+    distinct: dict[str, int] = dict.fromkeys(limits, 0)
+    for batch in _batches([f for f in found.fields if f.at in limits]):
+        parts = []
+        for f in batch:
+            counts = value_counts(found, f, category_text(F.col(f.at), f.label))
+            parts.append(counts.orderBy(F.desc("n"), "value").limit(limits[f.at]).select(F.lit(f.at).alias("at"), "value", "n"))
+            parts.append(counts.agg(F.count(F.lit(1)).alias("n")).select(F.lit(f.at).alias("at"), F.lit(None).cast("string").alias("value"), "n"))
+        for r in _union(parts).collect():
+            if r["value"] is None:
+                distinct[r["at"]] = r["n"]
+            else:
                 out[r["at"]].append((r["value"], r["n"]))
-    return {at: sorted(values, key=lambda v: (-v[1], v[0])) for at, values in out.items()}
+    return {at: sorted(values, key=lambda v: (-v[1], v[0])) for at, values in out.items()}, distinct
+
+
+def top_values(found: Prepared, limits: Mapping[str, int]) -> dict[str, list[tuple[str, int]]]:
+    return counted_values(found, limits)[0]
 
 
 def profile(df: DataFrame, source: str = "dataframe", mode: str = EXACT, infer: bool = False) -> Profile:
@@ -245,19 +171,14 @@ def profile_prepared(found: Prepared, source: str, mode: str = EXACT) -> Profile
     present = {f.at: basic[f.at]["n"] for f in found.fields}
     filled = [f for f in found.fields if present[f.at]]
     cardinality = {f.at: 0 for f in found.fields}
-    if mode == SKETCH:
-        cardinality |= distinct_counts(found, filled)
-        grids = sketched_quantiles(found, basic)
-    else:
-        many = likely_many(found, rows)
-        sorted_ = {f.at: sorted_field(found, f, present[f.at]) for f in filled if f.at in many}
-        cardinality |= {at: distinct for at, (_, distinct) in sorted_.items()}
-        rest = Prepared(found.frame, tuple(f for f in filled if f.at not in many))
-        cardinality |= distinct_counts(rest, rest.fields)
-        grids = exact_quantiles(rest, cardinality, present) | {at: grid for at, (grid, _) in sorted_.items()}
+    numbers = [f for f in filled if f.label in (INT, FLOAT, MOMENT)]
+    exact = exact_numbers(found, numbers, rows) if numbers else {}
+    cardinality |= {at: n for at, (_, n) in exact.items()}
+    grids = sketched_quantiles(found, basic) if mode == SKETCH else {at: grid for at, (grid, _) in exact.items()}
     named = [f for f in filled if f.label in (TEXT, BOOL)]
+    tops, distinct = counted_values(found, {f.at: TRACKED for f in named})
+    cardinality |= distinct
     repeats = {f.at: cardinality[f.at] / present[f.at] <= IDENTIFIER_SHARE for f in named}
-    tops = top_values(found, {f.at: TRACKED if repeats[f.at] else 1 for f in named})
     columns = {}
     for f in found.fields:
         n, b = present[f.at], basic[f.at]

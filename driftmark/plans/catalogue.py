@@ -16,6 +16,7 @@ from driftmark.functions.similarity import overlap
 from driftmark.operators import profile as P
 from driftmark.operators.compare import Comparison, compare, counts_up
 from driftmark.operators.prepare import Prepared, prepare
+from driftmark.operators.ranges import RANGE_VALUES, summaries
 from driftmark.operators.rows import compare_rows, differs, joined, repeats
 from driftmark.plans import rulejoin
 from driftmark.plans.analyze import entry as changelog_entry
@@ -108,17 +109,16 @@ def profile_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _grids(spark: SparkSession, found: Prepared) -> DataFrame:
-    _, basic = P.moments(found)
-    grids = P.exact_quantiles(found, P.distinct_counts(found, found.fields), {at: b["n"] for at, b in basic.items()})
-    rows = [(name, level, six(q)) for at, name in _names(found).items() for level, q in zip(stats.LEVELS, grids[at], strict=True)]
+    grids = P.exact_numbers(found, found.fields, found.frame.count())
+    rows = [(name, level, six(q)) for at, name in _names(found).items() for level, q in zip(stats.LEVELS, grids[at][0], strict=True)]
     return spark.createDataFrame(rows, "column_name string, level double, quantile double")
 
 
 @query(_levels("l_extendedprice", "lineitem", "l_extendedprice"))
 def profile_quantiles_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The quantile form for columns of very many distinct values."""
-    values = table(spark, sf_dir, "lineitem").select(F.col("l_extendedprice").alias("value")).filter("value IS NOT NULL")
-    grid = P.sorted_quantiles(values, values.count())
+    """The same in many ranges, as for columns of very many values."""
+    values = table(spark, sf_dir, "lineitem").select(F.col("l_extendedprice").cast("double").alias("value"))
+    grid, _ = summaries(values, 50 * RANGE_VALUES, stats.LEVELS)["value"]
     return spark.createDataFrame([("l_extendedprice", level, six(q)) for level, q in zip(stats.LEVELS, grid, strict=True)], "column_name string, level double, quantile double")
 
 

@@ -1,13 +1,16 @@
 import datetime as dt
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from driftmark import Severity, analyze, bump, compare, profile, report_on
 from driftmark.functions.stats import LEVELS, OTHER
 from driftmark.operators import profile as P
+from driftmark.operators import ranges
 from driftmark.operators.prepare import prepare
+from driftmark.operators.ranges import RANGE_VALUES, summaries
 from driftmark.plans.analyze import entry, payload, refused, rendered, to_json, write_changelog
 
 
@@ -44,19 +47,28 @@ def test_quantile_forms_agree(spark):
     values = [rng.choice([rng.gauss(0, 5), 1.0, 2.0]) for _ in range(997)]
     frame = numbers(spark, values).repartition(5)
     exact = profile(frame).columns["x"].quantiles
-    assert exact == pytest.approx(P.sorted_quantiles(frame.withColumnRenamed("x", "value"), len(values)))
+    assert exact == pytest.approx(summaries(frame, 50 * RANGE_VALUES, LEVELS)["x"][0])
     ordered = sorted(values)
     assert exact[0] == ordered[0] and exact[-1] == ordered[-1] and exact[5] == pytest.approx(ordered[498])
     sketch = profile(frame, mode=P.SKETCH).columns["x"].quantiles
     assert max(abs(a - b) for a, b in zip(exact, sketch, strict=True)) <= 0.02 * (ordered[-1] - ordered[0])
-    assert P.sorted_quantiles(numbers(spark, [4.0], "value"), 1) == (4.0,) * len(LEVELS)
+    assert summaries(numbers(spark, [4.0]), 1, LEVELS) == {"x": ((4.0,) * len(LEVELS), 1)}
 
 
-def test_many_distinct_values_take_the_sorted_form(spark, monkeypatch):
-    frame = numbers(spark, range(200))
-    before = profile(frame)
-    monkeypatch.setattr(P, "FEW_VALUES", 10)
-    assert profile(frame).columns["x"].quantiles == pytest.approx(before.columns["x"].quantiles)
+def test_ranges_of_one_hot_value_many_columns_and_none(spark, monkeypatch):
+    monkeypatch.setattr(ranges, "CHUNK_ROWS", 64)
+    rng = random.Random(4)
+    hot = [7 if rng.random() < 0.6 else rng.randrange(-50, 3000) for _ in range(3000)]
+    rows = [(v, float(v) / 3, None, -0.0 if i % 2 else 0.0, *[i] * 7) for i, v in enumerate(hot)]
+    schema = "a bigint, b double, c double, z double, " + ", ".join(f"d{i} bigint" for i in range(7))
+    frame = spark.createDataFrame(rows, schema).repartition(3)
+    found = ranges.summaries(frame, 20 * RANGE_VALUES, LEVELS)
+    few = ranges.summaries(frame, 3000, LEVELS)
+    assert found == few and "c" not in found and found["z"] == ((0.0,) * len(LEVELS), 1)
+    assert found["a"][1] == len(set(hot)) and found["d6"][1] == 3000
+    want = np.quantile(hot, LEVELS)
+    assert found["a"][0] == pytest.approx(want) and found["b"][0] == pytest.approx(want / 3)
+    assert ranges.summaries(frame.limit(0), 0, LEVELS) == {}
 
 
 def test_tail_of_categories(spark):
