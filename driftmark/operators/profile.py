@@ -8,7 +8,7 @@ Physical plan of an exact profile:
 3. distinct counts and categories of texts come from the same value counts, the latter as a
    top-k, so no column's values meet in a task.
 
-A sketched profile takes the quantiles from one pass of percentile_approx. Only results of
+A sketched profile takes the quantiles from mergeable sketches, in one pass. Only results of
 the size of the metadata reach the driver.
 """
 
@@ -28,7 +28,8 @@ from driftmark.types import BOOL, FLOAT, INT, MOMENT, TEXT, is_numeric
 
 #: The share of distinct among present values above which a column identifies rows.
 IDENTIFIER_SHARE = 0.5
-SKETCH_ACCURACY = 10_000
+#: Values that a quantile sketch keeps; ranks are off by about 0.1 % of the rows.
+SKETCH_SIZE = 4096
 EXACT, SKETCH, FOOTER = "exact", "sketch", "footer"
 
 
@@ -127,14 +128,14 @@ def exact_numbers(found: Prepared, fields: Sequence[Field], rows: int) -> dict[s
 
 
 def sketched_quantiles(found: Prepared, bounds: Mapping[str, dict]) -> dict[str, tuple[float, ...]]:
-    """Approximate grids in one pass, with exact ends."""
+    """Approximate grids in one pass of mergeable sketches (KLL), with exact ends."""
     out: dict[str, tuple[float, ...]] = {}
-    for batch in _batches(_numbers(found)):
-        if batch:
-            row = found.frame.agg(*[F.percentile_approx(as_double(f), list(LEVELS), SKETCH_ACCURACY).alias(f.at) for f in batch]).first()
-            for f in batch:
-                if row[f.at]:
-                    out[f.at] = (bounds[f.at]["min"], *row[f.at][1:-1], bounds[f.at]["max"])
+    levels = F.array(*map(F.lit, LEVELS))
+    for batch in _batches([f for f in _numbers(found) if bounds[f.at]["n"]]):
+        sketches = found.frame.agg(*[F.kll_sketch_agg_double(as_double(f), F.lit(SKETCH_SIZE)).alias(f.at) for f in batch])
+        row = sketches.select(*[F.kll_sketch_get_quantile_double(f.at, levels).alias(f.at) for f in batch]).first()
+        for f in batch:
+            out[f.at] = (bounds[f.at]["min"], *row[f.at][1:-1], bounds[f.at]["max"])
     return out
 
 
